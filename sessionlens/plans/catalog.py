@@ -524,6 +524,17 @@ def feature_drift(spark, sf_dir):
     )
 
 
+@query
+def feature_drift_timed(spark, sf_dir):
+    """Drift of the features that do not rest on approximate counts."""
+    events = _events(spark, sf_dir)
+    drift = features.feature_drift(
+        features.session_features(events), live.live_session_features(events)
+    )
+    timed = ("events_per_minute", "avg_time_between_events", "session_duration_seconds")
+    return drift.select("session_id", *[F.round(f"{f}_drift", 6).alias(f"{f}_drift") for f in timed])
+
+
 # --- ordering, closure, set operations ------------------------------------------
 
 

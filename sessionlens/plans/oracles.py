@@ -519,6 +519,13 @@ def build() -> dict[str, str]:
         q[name] = _live(f"SELECT session_id, {feature} FROM live")
     q["buffer_features"] = _feat(f"SELECT session_id, {stored} FROM features")
 
+    timed = ("events_per_minute", "avg_time_between_events", "session_duration_seconds")
+    q["feature_drift_timed"] = _with(
+        f"""SELECT session_id, {", ".join(f"round(l.{f} - f.{f}, 6) AS {f}_drift" for f in timed)}
+          FROM features f JOIN live l USING (session_id)""",
+        _GAPS, _FEATURES, _LIVE,
+    )
+
     # ordering, closure, set operations
     order = 'PARTITION BY session_id ORDER BY "timestamp", arrival_seq'
     q["session_order"] = _ev(

@@ -8,6 +8,7 @@ the set of visited pages, at most one per event of a capped buffer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -31,10 +32,53 @@ CLOSED_SCHEMA = (
     "events_per_minute double, unique_pages double, avg_gap double, cart_ratio double, "
     "close_reason string"
 )
-_OPEN_SCHEMA = "n long, opened long, last long, adds long, buys long"
+_OPEN_SCHEMA = (
+    "n long, opened long, last long, adds long, buys long, timer long, pages array<string>"
+)
+
+
+@dataclass
+class Buffer:
+    """Running values of one open buffer; times in microseconds."""
+
+    n: int = 0
+    opened: int = 0
+    last: int = 0
+    adds: int = 0
+    buys: int = 0
+    pages: set[str] = field(default_factory=set)
+
+    def add(self, ts: int, page: str | None, is_add: int, is_buy: int) -> None:
+        self.opened = min(self.opened, ts) if self.n else ts
+        self.last = max(self.last, ts) if self.n else ts
+        self.n += 1
+        self.adds += is_add
+        self.buys += is_buy
+        if page is not None:
+            self.pages.add(page)
+
+    def closed(self, session: str, reason: str) -> dict:
+        seconds = (self.last - self.opened) / 1_000_000
+        per_minute, gap = 0.0, 0.0
+        if self.n >= 2:
+            per_minute = self.n / seconds * 60 if seconds > 0 else float(self.n)
+            gap = seconds / (self.n - 1)
+        return {
+            "session_id": session,
+            "opened_at": pd.Timestamp(self.opened, unit="us", tz="UTC"),
+            "last_seen": pd.Timestamp(self.last, unit="us", tz="UTC"),
+            "event_count": self.n,
+            "events_per_minute": per_minute,
+            "unique_pages": float(len(self.pages)),
+            "avg_gap": gap,
+            "cart_ratio": self.buys / self.adds if self.adds else 0.0,
+            "close_reason": reason,
+        }
 
 
 class SessionCloser(StatefulProcessor):
+    """Per key and trigger: one state read, one state write, one timer change."""
+
     def __init__(self, idle_seconds: float, max_events: int) -> None:
         self.idle_us = int(idle_seconds * 1_000_000)
         self.max_events = max_events
@@ -42,76 +86,54 @@ class SessionCloser(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN_SCHEMA)
-        self.pages = handle.getMapState("pages", "page string", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         session = key[0]
         if session == END_SESSION:
             return
+        state = self.open.get()
+        buffer, timer = Buffer(), None
+        if state:
+            *values, timer, pages = state
+            buffer = Buffer(*values, pages=set(pages))
         events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        state = self.open.get() if self.open.exists() else None
-        n, opened, last, adds, buys = state if state else (0, 0, 0, 0, 0)
-        pages = {k[0] for k in self.pages.keys()} if n else set()
         closed = []
         columns = ["ts_us", "page", "is_add", "is_buy", "is_exit"]
         for ts, page, is_add, is_buy, exits in events[columns].itertuples(index=False):
-            if n and ts - last > self.idle_us:
-                closed.append(self._row(session, n, opened, last, adds, buys, pages, "idle"))
-                n, adds, buys, pages = 0, 0, 0, set()
-            opened, last = (min(opened, ts), max(last, ts)) if n else (ts, ts)
-            n, adds, buys = n + 1, adds + is_add, buys + is_buy
-            if page is not None:
-                pages.add(page)
-            if exits or n >= self.max_events:
-                reason = "exit" if exits else "cap"
-                closed.append(self._row(session, n, opened, last, adds, buys, pages, reason))
-                n, adds, buys, pages = 0, 0, 0, set()
-        self._save(n, opened, last, adds, buys, pages)
+            if buffer.n and ts - buffer.last > self.idle_us:
+                closed.append(buffer.closed(session, "idle"))
+                buffer = Buffer()
+            buffer.add(ts, page, is_add, is_buy)
+            if exits or buffer.n >= self.max_events:
+                closed.append(buffer.closed(session, "exit" if exits else "cap"))
+                buffer = Buffer()
+        self._keep(buffer, timer)
         if closed:
             yield pd.DataFrame(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
+        state = self.open.get()
+        if not state:
             return
-        n, opened, last, adds, buys = self.open.get()
-        pages = {k[0] for k in self.pages.keys()}
-        ended = timerValues.getCurrentWatermarkInMs() > _END_MS // 2
-        reason = "flush" if ended else "idle"
-        row = self._row(key[0], n, opened, last, adds, buys, pages, reason)
+        *values, _, pages = state
+        ended = timerValues.getCurrentWatermarkInMs() > _END_MS - 86_400_000
         self.open.clear()
-        self.pages.clear()
-        yield pd.DataFrame([row])
+        yield pd.DataFrame(
+            [Buffer(*values, pages=set(pages)).closed(key[0], "flush" if ended else "idle")]
+        )
 
-    def _save(self, n, opened, last, adds, buys, pages) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _keep(self, buffer: Buffer, timer: int | None) -> None:
+        wanted = (buffer.last + self.idle_us) // 1000 + 1 if buffer.n else None
+        if timer is not None and timer != wanted:
             self.handle.deleteTimer(timer)
-        self.pages.clear()
-        if not n:
-            self.open.clear()
+        if wanted is None:
+            if timer is not None:
+                self.open.clear()
             return
-        self.open.update((n, opened, last, adds, buys))
-        for page in pages:
-            self.pages.updateValue((page,), (True,))
-        self.handle.registerTimer((last + self.idle_us) // 1000 + 1)
-
-    def _row(self, session, n, opened, last, adds, buys, pages, reason) -> dict:
-        seconds = (last - opened) / 1_000_000
-        if n < 2:
-            per_minute, gap = 0.0, 0.0
-        else:
-            per_minute = n / seconds * 60 if seconds > 0 else float(n)
-            gap = seconds / (n - 1)
-        return {
-            "session_id": session,
-            "opened_at": pd.Timestamp(opened, unit="us", tz="UTC"),
-            "last_seen": pd.Timestamp(last, unit="us", tz="UTC"),
-            "event_count": n,
-            "events_per_minute": per_minute,
-            "unique_pages": float(len(pages)),
-            "avg_gap": gap,
-            "cart_ratio": buys / adds if adds else 0.0,
-            "close_reason": reason,
-        }
+        if timer != wanted:
+            self.handle.registerTimer(wanted)
+        b = buffer
+        self.open.update((b.n, b.opened, b.last, b.adds, b.buys, wanted, sorted(b.pages)))
 
     def close(self) -> None:
         pass
