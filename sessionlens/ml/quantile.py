@@ -15,23 +15,45 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows that may be left for the final sort.
 SMALL = 100_000
 _ACCURACY = 10_000
 
 
+def _stored_around(inside: DataFrame, low, high) -> tuple:
+    """The nearest stored values at or outside the given bounds."""
+    v = F.col("v")
+    row = inside.agg(
+        F.max(F.when(v <= F.lit(low), v)).alias("low"),
+        F.min(F.when(v >= F.lit(high), v)).alias("high"),
+        F.min(v).alias("least"),
+        F.max(v).alias("greatest"),
+    ).first()
+    return (
+        row["least"] if row["low"] is None else row["low"],
+        row["greatest"] if row["high"] is None else row["high"],
+    )
+
+
 def kth_smallest(df: DataFrame, column: str, k: int, small: int = SMALL):
     """The k-th smallest non-null value (from 1)."""
     inside = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
     v = F.col("v")
     n = inside.count()
+    # The sketch works in doubles: only these types come back as they are stored.
+    exact_sketch = isinstance(
+        inside.schema["v"].dataType, (T.DoubleType, T.FloatType, T.IntegerType)
+    )
     if not 1 <= k <= n:
         raise ValueError(f"rank {k} outside 1..{n}")
     while n > small:
         at, slack = k / n, 2.0 / _ACCURACY
         cuts = [max(0.0, at - slack), min(1.0, at + slack)]
         low, high = inside.agg(F.percentile_approx("v", cuts, _ACCURACY)).first()[0]
+        if not exact_sketch:
+            low, high = _stored_around(inside, low, high)
         low_, high_ = F.lit(low), F.lit(high)
         seen = inside.agg(
             F.count_if(v < low_).alias("under"),
