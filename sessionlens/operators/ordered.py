@@ -3,9 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts every row of a key in one
 task. Here each key's time line is cut into slots of ``chunk_seconds``; rows are
 scanned per (key, slot), and what must cross a slot border is carried by a
-summary with one row per (key, slot). Rows are shuffled once, by (key, slot);
-the summary is pre-aggregated before its shuffle and joins back on the same
-(key, slot) partitioning.
+summary with one row per (key, slot). The rows are shuffled once, by (key, slot),
+and the summary joins back on that same partitioning.
 """
 
 from __future__ import annotations
@@ -19,7 +18,25 @@ from pyspark.sql import functions as F
 from sessionlens.functions.expressions import time_bucket
 
 CHUNK = "_chunk"
-DEFAULT_CHUNK_SECONDS = 60.0
+
+# Slot widths to choose from, and how many rows of one key a slot may hold.
+WIDTHS = (86400.0, 3600.0, 60.0, 1.0, 0.001)
+MAX_CHUNK_ROWS = 1_000_000
+
+
+def fitting_width(
+    df: DataFrame, key: str, ts: str = "timestamp", max_rows: int = MAX_CHUNK_ROWS
+) -> float:
+    """The widest slot that no key fills with more than ``max_rows`` rows.
+
+    Usually one counting pass over two columns. Wide slots keep the summary small;
+    a hot key forces narrower ones, so that no task gets too many of its rows.
+    """
+    for width in WIDTHS[:-1]:
+        fullest = densest_chunk(df, key, ts, width).first()["max_chunk_rows"]
+        if fullest is None or fullest <= max_rows:
+            return width
+    return WIDTHS[-1]
 
 
 def ordered_scan(
@@ -27,102 +44,123 @@ def ordered_scan(
     key: str,
     ts: str = "timestamp",
     tiebreak: Sequence[str] = ("event_id",),
-    chunk_seconds: float = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: float | None = None,
     carry: dict[str, Column] | None = None,
+    starts: Column | None = None,
 ) -> DataFrame:
     """Number each key's rows by (ts, tiebreak) and look one row back.
 
     Adds ``row_number`` (from 1), ``key_rows``, ``prev_<ts>`` and, for every entry
-    ``name: expression`` of ``carry``, ``prev_<name>``. Keeps ``_chunk``. Rows need
-    a key and a timestamp; validation quarantines the others before this point.
+    ``name: expression`` of ``carry``, ``prev_<name>``. Rows need a key and a
+    timestamp; validation quarantines the others before this point. Without
+    ``chunk_seconds`` the slot width is measured (see ``fitting_width``).
+
+    ``starts`` is a condition over ``ts`` and the ``prev_`` columns that opens a new
+    run; it adds ``run`` (from 0) and ``run_row`` (from 1).
     """
+    chunk_seconds = chunk_seconds or fitting_width(df, key, ts)
     carry = {ts: F.col(ts), **(carry or {})}
     rows = df.withColumn(CHUNK, time_bucket(F.col(ts), chunk_seconds))
-    order = F.struct(F.col(ts), *tiebreak)
-
     in_chunk = W.partitionBy(key, CHUNK).orderBy(ts, *tiebreak)
     local = rows.withColumns(
-        {"_local_row": F.row_number().over(in_chunk)}
-        | {f"_local_{n}": F.lag(e).over(in_chunk) for n, e in carry.items()}
+        {"_row": F.row_number().over(in_chunk)}
+        | {f"prev_{n}": F.lag(e).over(in_chunk) for n, e in carry.items()}
     )
-
-    last = {
-        n: F.max(ts) if n == ts else F.max_by(e, order) for n, e in carry.items()
-    }
-    chunks = rows.groupBy(key, CHUNK).agg(
-        F.count(F.lit(1)).alias("_n"), *[e.alias(f"_last_{n}") for n, e in last.items()]
-    )
-    by_key = W.partitionBy(key).orderBy(CHUNK)
-    before = by_key.rowsBetween(W.unboundedPreceding, -1)
-    carried = chunks.select(
-        key,
-        CHUNK,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(key)).alias("key_rows"),
-        *[F.lag(f"_last_{n}").over(by_key).alias(f"_carried_{n}") for n in carry],
-    )
-
-    joined = local.join(carried, [key, CHUNK])
-    first_in_chunk = F.col("_local_row") == 1
-    return joined.select(
-        *df.columns,
-        CHUNK,
-        (F.col("_before") + F.col("_local_row")).alias("row_number"),
+    if starts is None:
+        chunks = _summary(rows, key, ts, F.struct(F.col(ts), *tiebreak), carry)
+    else:
+        upto = in_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
+        opens = F.coalesce(starts, F.lit(False)) & (F.col("_row") > 1)
+        local = local.withColumn("_opens", opens).withColumns(
+            {
+                "_run": F.sum(F.col("_opens").cast("long")).over(upto),
+                "_start": F.max(F.when(F.col("_opens"), F.col("_row"))).over(upto),
+            }
+        )
+        chunks = _summary(
+            local,
+            key,
+            ts,
+            F.col("_row"),
+            carry,
+            F.max("_run").alias("_opened"),
+            F.max("_start").alias("_last_start"),
+        )
+
+    carried = _carried(chunks, key, ts, list(carry), starts)
+    joined = local.alias("l").join(carried.alias("c"), [key, CHUNK])
+    first = F.col("_row") == 1
+    number = F.col("_before") + F.col("_row")
+    out = [
+        *[F.col(f"l.{c}").alias(c) for c in df.columns if c != key],
+        number.alias("row_number"),
         "key_rows",
         *[
-            F.when(first_in_chunk, F.col(f"_carried_{n}"))
-            .otherwise(F.col(f"_local_{n}"))
-            .alias(f"prev_{n}")
+            F.when(first, F.col(f"c.prev_{n}")).otherwise(F.col(f"l.prev_{n}")).alias(f"prev_{n}")
             for n in carry
         ],
+    ]
+    if starts is not None:
+        start = F.coalesce(F.col("_before") + F.col("_start"), F.col("_run_start"))
+        out += [
+            (F.col("_runs_before") + F.col("_run")).alias("run"),
+            (number - start + 1).alias("run_row"),
+        ]
+    return joined.select(key, *out)
+
+
+def _summary(
+    rows: DataFrame, key: str, ts: str, order: Column, carry: dict[str, Column], *extra: Column
+) -> DataFrame:
+    """Per (key, slot): size, first time, and the values of the last row."""
+    return rows.groupBy(key, CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(ts).alias("_first"),
+        *[
+            (F.max(ts) if n == ts else F.max_by(e, order)).alias(f"_last_{n}")
+            for n, e in carry.items()
+        ],
+        *extra,
     )
 
 
-def running_groups(scanned: DataFrame, key: str, starts: Column) -> DataFrame:
-    """Number the runs of an ``ordered_scan``; a run begins where ``starts`` holds.
-
-    Adds ``run`` (from 0; a start on a key's first row opens run 0 as well) and
-    ``run_row`` (from 1), again by chunk plus carry.
-    """
-    opens = F.coalesce(starts, F.lit(False)) & (F.col("row_number") > 1)
-    rows = scanned.withColumn("_opens", opens)
-    upto = (
-        W.partitionBy(key, CHUNK)
-        .orderBy("row_number")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    opened_at = F.when(F.col("_opens"), F.col("row_number"))
-    local = rows.withColumns(
-        {
-            "_local_run": F.sum(F.col("_opens").cast("long")).over(upto),
-            "_local_start": F.max(opened_at).over(upto),
-        }
-    )
-    chunks = rows.groupBy(key, CHUNK).agg(
-        F.sum(F.col("_opens").cast("long")).alias("_n_open"),
-        F.max(opened_at).alias("_last_open"),
-    )
-    before = (
-        W.partitionBy(key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    )
-    carried = chunks.select(
+def _carried(
+    chunks: DataFrame, key: str, ts: str, names: list[str], starts: Column | None
+) -> DataFrame:
+    """What every slot needs to know about the slots before it."""
+    by_key = W.partitionBy(key).orderBy(CHUNK)
+    before = by_key.rowsBetween(W.unboundedPreceding, -1)
+    known = chunks.select(
         key,
         CHUNK,
-        F.coalesce(F.sum("_n_open").over(before), F.lit(0)).alias("_runs_before"),
-        F.coalesce(F.max("_last_open").over(before), F.lit(1)).alias("_carried_start"),
+        F.col("_first").alias(ts),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(W.partitionBy(key)).alias("key_rows"),
+        *[F.lag(f"_last_{n}").over(by_key).alias(f"prev_{n}") for n in names],
+        *([] if starts is None else ["_opened", "_last_start"]),
     )
-    start = F.coalesce(F.col("_local_start"), F.col("_carried_start"))
-    return local.join(carried, [key, CHUNK]).select(
-        *scanned.columns,
-        (F.col("_runs_before") + F.col("_local_run")).alias("run"),
-        (F.col("row_number") - start + 1).alias("run_row"),
+    if starts is None:
+        return known.drop(ts)
+    at_border = F.coalesce(starts, F.lit(False)) & (F.col("_before") > 0)
+    here = known.withColumn("_border", at_border.cast("long"))
+    border_row = F.when(F.col("_border") == 1, F.col("_before") + 1)
+    last_start = F.coalesce(F.col("_before") + F.col("_last_start"), border_row)
+    return here.select(
+        key,
+        CHUNK,
+        "_before",
+        "key_rows",
+        *[f"prev_{n}" for n in names],
+        (
+            F.coalesce(F.sum(F.col("_opened") + F.col("_border")).over(before), F.lit(0))
+            + F.col("_border")
+        ).alias("_runs_before"),
+        F.coalesce(border_row, F.max(last_start).over(before), F.lit(1)).alias("_run_start"),
     )
 
 
-def densest_chunk(
-    df: DataFrame, key: str, ts: str, chunk_seconds: float
-) -> DataFrame:
-    """Rows of the fullest (key, slot): the check to run before choosing a width."""
+def densest_chunk(df: DataFrame, key: str, ts: str, chunk_seconds: float) -> DataFrame:
+    """Rows of the fullest (key, slot) and the number of such slots."""
     return (
         df.groupBy(key, time_bucket(F.col(ts), chunk_seconds).alias(CHUNK))
         .count()

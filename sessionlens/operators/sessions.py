@@ -12,12 +12,7 @@ from sessionlens.functions.expressions import (
     is_exit,
     time_bucket,
 )
-from sessionlens.operators.ordered import (
-    CHUNK,
-    DEFAULT_CHUNK_SECONDS,
-    ordered_scan,
-    running_groups,
-)
+from sessionlens.operators.ordered import CHUNK, ordered_scan
 
 # Idle limit in seconds and event cap of a session buffer.
 IDLE_SECONDS = 40
@@ -68,7 +63,7 @@ def sessionize_gap(
 
 
 def session_order(
-    events: DataFrame, chunk_seconds: float = DEFAULT_CHUNK_SECONDS
+    events: DataFrame, chunk_seconds: float | None = None
 ) -> DataFrame:
     """Position of each event in its session by (timestamp, event_id)."""
     scanned = ordered_scan(events, "session_id", chunk_seconds=chunk_seconds)
@@ -78,7 +73,7 @@ def session_order(
 
 
 def event_gaps(
-    events: DataFrame, chunk_seconds: float = DEFAULT_CHUNK_SECONDS
+    events: DataFrame, chunk_seconds: float | None = None
 ) -> DataFrame:
     """Seconds since the previous event of the session; null for the first."""
     scanned = ordered_scan(events, "session_id", chunk_seconds=chunk_seconds)
@@ -134,7 +129,7 @@ def assign_closures(
     key: str = "session_id",
     idle_seconds: float = IDLE_SECONDS,
     max_events: int = MAX_EVENTS,
-    chunk_seconds: float = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: float | None = None,
 ) -> DataFrame:
     """Assign each event to the buffer that would hold it.
 
@@ -143,13 +138,16 @@ def assign_closures(
     (timestamp, event_id). Adds ``run`` (exit/idle runs) and ``part`` (cap
     splits within a run) plus the scan columns.
     """
-    scanned = ordered_scan(
-        events, key, chunk_seconds=chunk_seconds, carry={"exit": is_exit()}
-    )
     idle = exact_seconds(F.col("prev_timestamp"), F.col("timestamp")) > F.lit(
         float(idle_seconds)
     )
-    runs = running_groups(scanned, key, F.col("prev_exit") | idle)
+    runs = ordered_scan(
+        events,
+        key,
+        chunk_seconds=chunk_seconds,
+        carry={"exit": is_exit()},
+        starts=F.col("prev_exit") | idle,
+    )
     part = F.call_function("div", F.col("run_row") - 1, F.lit(max_events))
     return runs.withColumn("part", part)
 
@@ -179,7 +177,7 @@ def close_sessions(
     key: str = "session_id",
     idle_seconds: float = IDLE_SECONDS,
     max_events: int = MAX_EVENTS,
-    chunk_seconds: float = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: float | None = None,
     as_of: Column | None = None,
 ) -> DataFrame:
     """Closed session buffers with their close reason.

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.expressions import exact_seconds, time_bucket
+from sessionlens.operators.ordered import fitting_width
 from sessionlens.schema import SESSION_FEATURES, FeatureView
 
 
@@ -82,7 +83,7 @@ def asof_feature_join(
     at: str = "asked_at",
     request_id: str = "request_id",
     ttl: timedelta | None = None,
-    slot_seconds: float = 3600.0,
+    slot_seconds: float | None = None,
 ) -> DataFrame:
     """For each request the newest feature row not after its time; misses stay.
 
@@ -109,6 +110,7 @@ def asof_feature_join(
             *extra,
         )
     )
+    slot_seconds = slot_seconds or fitting_width(timeline, key, "_at")
     slotted = timeline.withColumn("_slot", time_bucket(F.col("_at"), slot_seconds))
     # Feature rows come before requests of the same instant.
     tie = F.xxhash64("_value")

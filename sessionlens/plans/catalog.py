@@ -24,6 +24,7 @@ from sessionlens.operators import (
     store,
     validate,
 )
+from sessionlens.operators.ordered import fitting_width
 from sessionlens.plans import pipeline
 from sessionlens.schema import ENVELOPE, FEATURE_COLUMNS
 from sessionlens.session import configure, fresh_dir
@@ -76,6 +77,11 @@ def query(build: Query) -> Query:
 _events = tables.session_events
 
 
+def _width(spark, sf_dir):
+    """Slot width for scans by session: what fits every user fits their sessions."""
+    return fitting_width(tables.user_events(spark, sf_dir), "user_id")
+
+
 # --- sources, sinks, connectors -------------------------------------------------
 
 
@@ -540,12 +546,13 @@ def feature_drift_timed(spark, sf_dir):
 
 @query
 def session_order(spark, sf_dir):
-    return sessions.session_order(_events(spark, sf_dir))
+    return sessions.session_order(_events(spark, sf_dir), _width(spark, sf_dir))
 
 
 @query
 def event_gaps(spark, sf_dir):
-    return sessions.event_gaps(_events(spark, sf_dir)).drop("agent_type")
+    gaps = sessions.event_gaps(_events(spark, sf_dir), _width(spark, sf_dir))
+    return gaps.drop("agent_type")
 
 
 @query
@@ -608,7 +615,11 @@ def sessions_seen_per_day(spark, sf_dir):
 @query
 def close_sessions(spark, sf_dir):
     closed = sessions.close_sessions(
-        _events(spark, sf_dir), idle_seconds=IDLE_SECONDS, max_events=MAX_EVENTS
+        _events(spark, sf_dir),
+        idle_seconds=IDLE_SECONDS,
+        max_events=MAX_EVENTS,
+        chunk_seconds=_width(spark, sf_dir),
+        as_of=tables.user_events(spark, sf_dir).agg(F.max("timestamp")).scalar(),
     )
     return closed.drop("run", "part")
 
@@ -703,7 +714,9 @@ def enforce_contract(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return pipeline.closed_history(_events(spark, sf_dir), IDLE_SECONDS, MAX_EVENTS)
+    return pipeline.closed_history(
+        _events(spark, sf_dir), IDLE_SECONDS, MAX_EVENTS, _width(spark, sf_dir)
+    )
 
 
 _SERVED = ("event_count", "events_per_minute", "unique_pages_visited")
@@ -721,7 +734,7 @@ def online_lookup_ttl(spark, sf_dir):
     from datetime import timedelta
 
     history = _history(spark, sf_dir).select("session_id", "event_timestamp", *_SERVED)
-    now = _events(spark, sf_dir).agg(F.max("timestamp")).scalar()
+    now = tables.user_events(spark, sf_dir).agg(F.max("timestamp")).scalar()
     return store.online_lookup_ttl(history, now, timedelta(hours=TTL_HOURS))
 
 
@@ -733,7 +746,10 @@ def asof_feature_join(spark, sf_dir):
         F.col("event_id").alias("request_id"),
         F.col("timestamp").alias("asked_at"),
     )
-    return store.asof_feature_join(requests, _history(spark, sf_dir), list(_SERVED))
+    history = pipeline.stored(_history(spark, sf_dir))
+    return store.asof_feature_join(
+        requests, history, list(_SERVED), slot_seconds=_width(spark, sf_dir)
+    )
 
 
 @query
@@ -878,4 +894,4 @@ def engagement_decay(spark, sf_dir):
 
 @query
 def gap_bounds(spark, sf_dir):
-    return checks.gap_bounds(_events(spark, sf_dir))
+    return checks.gap_bounds(_events(spark, sf_dir), chunk_seconds=_width(spark, sf_dir))

@@ -36,11 +36,17 @@ def stored(rows: DataFrame) -> DataFrame:
 
 
 def closed_history(
-    events: DataFrame, idle_seconds: float, max_events: int
+    events: DataFrame,
+    idle_seconds: float,
+    max_events: int,
+    chunk_seconds: float | None = None,
 ) -> DataFrame:
     """Feature snapshots of every closed buffer: several rows per session over time."""
     assigned = assign_closures(
-        events, idle_seconds=idle_seconds, max_events=max_events
+        events,
+        idle_seconds=idle_seconds,
+        max_events=max_events,
+        chunk_seconds=chunk_seconds,
     )
     rows = session_features(
         assigned,

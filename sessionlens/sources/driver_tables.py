@@ -31,9 +31,15 @@ def _event_type(kind: Column, k: Column) -> Column:
     )
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Share rows of a file with fewer splits than cores; a large table passes as is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
+
+
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed events with flat ``ip`` and ``agent_type``, not yet cut into sessions."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("timestamp"),
         "user_id",

@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from operator import attrgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +28,7 @@ END_TIME = datetime(2200, 1, 1, tzinfo=timezone.utc)
 _END_MS = int(END_TIME.timestamp() * 1000)
 
 CLOSED_SCHEMA = (
-    "session_id string, opened_at timestamp, last_seen timestamp, event_count long, "
+    "session_id string, opened_us long, last_us long, event_count long, "
     "events_per_minute double, unique_pages double, avg_gap double, cart_ratio double, "
     "close_reason string"
 )
@@ -57,23 +57,23 @@ class Buffer:
         if page is not None:
             self.pages.add(page)
 
-    def closed(self, session: str, reason: str) -> dict:
+    def closed(self, session: str, reason: str) -> Row:
         seconds = (self.last - self.opened) / 1_000_000
         per_minute, gap = 0.0, 0.0
         if self.n >= 2:
             per_minute = self.n / seconds * 60 if seconds > 0 else float(self.n)
             gap = seconds / (self.n - 1)
-        return {
-            "session_id": session,
-            "opened_at": pd.Timestamp(self.opened, unit="us", tz="UTC"),
-            "last_seen": pd.Timestamp(self.last, unit="us", tz="UTC"),
-            "event_count": self.n,
-            "events_per_minute": per_minute,
-            "unique_pages": float(len(self.pages)),
-            "avg_gap": gap,
-            "cart_ratio": self.buys / self.adds if self.adds else 0.0,
-            "close_reason": reason,
-        }
+        return Row(
+            session_id=session,
+            opened_us=self.opened,
+            last_us=self.last,
+            event_count=self.n,
+            events_per_minute=per_minute,
+            unique_pages=float(len(self.pages)),
+            avg_gap=gap,
+            cart_ratio=self.buys / self.adds if self.adds else 0.0,
+            close_reason=reason,
+        )
 
 
 class SessionCloser(StatefulProcessor):
@@ -87,7 +87,7 @@ class SessionCloser(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN_SCHEMA)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         session = key[0]
         if session == END_SESSION:
             return
@@ -96,31 +96,24 @@ class SessionCloser(StatefulProcessor):
         if state:
             *values, timer, pages = state
             buffer = Buffer(*values, pages=set(pages))
-        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        closed = []
-        columns = ["ts_us", "page", "is_add", "is_buy", "is_exit"]
-        for ts, page, is_add, is_buy, exits in events[columns].itertuples(index=False):
-            if buffer.n and ts - buffer.last > self.idle_us:
-                closed.append(buffer.closed(session, "idle"))
+        for e in sorted(rows, key=attrgetter("ts_us", "event_id")):
+            if buffer.n and e.ts_us - buffer.last > self.idle_us:
+                yield buffer.closed(session, "idle")
                 buffer = Buffer()
-            buffer.add(ts, page, is_add, is_buy)
-            if exits or buffer.n >= self.max_events:
-                closed.append(buffer.closed(session, "exit" if exits else "cap"))
+            buffer.add(e.ts_us, e.page, e.is_add, e.is_buy)
+            if e.is_exit or buffer.n >= self.max_events:
+                yield buffer.closed(session, "exit" if e.is_exit else "cap")
                 buffer = Buffer()
         self._keep(buffer, timer)
-        if closed:
-            yield pd.DataFrame(closed)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.open.get()
         if not state:
             return
         *values, _, pages = state
         ended = timerValues.getCurrentWatermarkInMs() > _END_MS - 86_400_000
         self.open.clear()
-        yield pd.DataFrame(
-            [Buffer(*values, pages=set(pages)).closed(key[0], "flush" if ended else "idle")]
-        )
+        yield Buffer(*values, pages=set(pages)).closed(key[0], "flush" if ended else "idle")
 
     def _keep(self, buffer: Buffer, timer: int | None) -> None:
         wanted = (buffer.last + self.idle_us) // 1000 + 1 if buffer.n else None
@@ -165,9 +158,20 @@ def stream_close_sessions(
         F.coalesce(is_success_payment(), F.lit(False)).cast("int").alias("is_buy"),
         is_exit().alias("is_exit"),
     )
-    return narrow.groupBy("session_id").transformWithStateInPandas(
+    closed = narrow.groupBy("session_id").transformWithState(
         statefulProcessor=SessionCloser(idle_seconds, max_events),
         outputStructType=CLOSED_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
     )
+    return closed.select(
+        "session_id",
+        F.timestamp_micros("opened_us").alias("opened_at"),
+        F.timestamp_micros("last_us").alias("last_seen"),
+        "event_count",
+        "events_per_minute",
+        "unique_pages",
+        "avg_gap",
+        "cart_ratio",
+        "close_reason",
+    )
