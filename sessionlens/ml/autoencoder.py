@@ -1,8 +1,8 @@
 """Autoencoder 9-5-2-5-9, trained by weight averaging over partitions.
 
 Each round is one Spark job: every shard runs Adam over its own rows in small
-batches, starting from the shared weights, and Spark averages the results by
-rows seen. The weights (131 numbers) are all that moves.
+batches, starting from the shared weights, and the results are averaged by rows
+seen. Only the weights and optimiser state move: 394 numbers per shard.
 """
 
 from __future__ import annotations
@@ -101,10 +101,14 @@ class Autoencoder:
         shards = shards or rows.sparkSession.sparkContext.defaultParallelism
         shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
         vectors = (
-            rows.select(shard.alias("shard"), F.xxhash64(key, F.lit(seed)).alias("_order"), scaler.vector().alias("x"))
-            .repartition(shards, "shard")
-            .sortWithinPartitions("shard", "_order")
-            .select("x")
+            rows.select(
+                shard.alias("shard"),
+                F.xxhash64(key, F.lit(seed)).alias("_order"),
+                scaler.vector().alias("x"),
+            )
+            .repartitionById(shards, F.col("shard"))
+            .sortWithinPartitions("_order")
+            .select("shard", "x")
             .persist()
         )
         size = len(initial_weights(layers, seed))
@@ -137,12 +141,15 @@ class Autoencoder:
 
 
 def _round(vectors: DataFrame, flat, moments, step, layers, output):
-    """One pass of every shard over its rows, then the row-weighted average."""
+    """One pass of every shard over its rows, then the row-weighted average.
+
+    One state per shard reaches the driver, in shard order for equal sums every run.
+    """
     size = len(flat)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, m, v = flat.copy(), moments[:size].copy(), moments[size:].copy()
-        t, seen = step, 0
+        t, seen, shard = step, 0, -1
         left = np.empty((0, layers[0]))
 
         def update(x: np.ndarray) -> None:
@@ -159,7 +166,7 @@ def _round(vectors: DataFrame, flat, moments, step, layers, output):
             if not len(pdf):
                 continue
             x = np.concatenate([left, np.stack(pdf["x"].to_numpy())])
-            seen += len(pdf)
+            seen, shard = seen + len(pdf), int(pdf["shard"].iloc[0])
             full = len(x) - len(x) % BATCH
             for at in range(0, full, BATCH):
                 update(x[at : at + BATCH])
@@ -167,15 +174,11 @@ def _round(vectors: DataFrame, flat, moments, step, layers, output):
         if len(left):
             update(left)
         if seen:
-            state = np.concatenate([w, m, v, [t]]) * seen
-            yield pd.DataFrame({"i": np.arange(len(state)), "s": state, "n": float(seen)})
-
-    trained = vectors.mapInPandas(train, "i int, s double, n double")
-    merged = (
-        trained.groupBy("i")
-        .agg((F.sum("s") / F.sum("n")).alias("value"))
-        .toPandas()
-        .sort_values("i")["value"]
-        .to_numpy()
-    )
+            state = np.concatenate([w, m, v, [t]])
+            yield pd.DataFrame({"shard": [shard], "rows": [float(seen)], "state": [state]})
+
+    trained = vectors.mapInPandas(train, "shard int, rows double, state array<double>")
+    shards = trained.toPandas().sort_values("shard")
+    states = np.stack(shards["state"].to_numpy())
+    merged = np.average(states, axis=0, weights=shards["rows"].to_numpy())
     return merged[:size], merged[size : 3 * size], float(merged[-1])

@@ -414,8 +414,9 @@ def build() -> dict[str, str]:
           {when("product_view", "price", "viewed_price")} FROM received"""
     )
     q["validate_events"] = _bad(
-        """SELECT seq, CASE WHEN errors = '' THEN 0
-          ELSE len(string_split(errors, ', ')) END AS n_errors, errors FROM validated"""
+        """SELECT seq, CAST(CASE WHEN errors = '' THEN 0
+          ELSE len(string_split(errors, ', ')) END AS INTEGER) AS n_errors, errors
+          FROM validated"""
     )
     q["quarantine_events"] = _bad(
         "SELECT seq, event_id, errors FROM validated WHERE errors <> ''"
