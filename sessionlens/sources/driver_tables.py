@@ -32,9 +32,9 @@ def _event_type(kind: Column, k: Column) -> Column:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Share rows of a file with fewer splits than cores; a large table passes as is."""
+    """Share the rows of a table with fewer splits than cores; others pass as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
