@@ -4,9 +4,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry_points
+from sessionlens.plans import oracles
+from sessionlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+ORACLES = oracles.build()
 ROWS_ONLY = {
     "agg_approx_unique_pages",
     "agg_approx_type_diversity",
@@ -26,6 +28,11 @@ def con():
     return connect(SF)
 
 
+def test_entry_points_hold_the_catalog():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_every_query_has_a_twin_unless_approximate():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
