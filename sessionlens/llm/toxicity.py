@@ -37,6 +37,9 @@ THRESHOLD = 0.7
 #: Of the other labelled rows one in CALIBRATE is for the calibration, and of those about
 #: this many at most.
 CALIBRATE, CALIBRATION_ROWS = 4, 10_000
+#: Labelled ids sent to every executor at most (16 bytes each), so that the texts stay
+#: where they are; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
 #: Byte sequences counted at a time in a task, and bytes scored at a time.
 BUFFER, CHUNK = 1 << 22, 1 << 20
 SEED = 23
@@ -291,7 +294,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     )
     for_counts = ~hash_share("labelled_id", SEED, 1 / CALIBRATE)
     labelled = docs.select(F.col(doc_id).alias("labelled_id"), F.col(text).alias("text"))
-    counts = stored(count_sequences(labelled.join(usable.where(for_counts), "labelled_id")), "counts")
+    counted = usable.where(for_counts)
+    if counted.count() <= BROADCAST_LABELS:
+        counted = F.broadcast(counted)
+    counts = stored(count_sequences(labelled.join(counted, "labelled_id")), "counts")
     model = Model(*fit_tables(counts), np.zeros(0))
 
     left = usable.where(~for_counts)
