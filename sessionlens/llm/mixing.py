@@ -13,6 +13,7 @@ source that has run out leaves its slots empty; nothing is dropped or repeated.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from sessionlens.llm.common import free_name
 RESOLUTION = 1000
 #: Documents in a block.
 BLOCK_DOCS = 8
-#: Documents numbered together; hot sources are numbered in many such cells.
-CELL_DOCS = 4096
+#: Least documents numbered together; from its square on it is the root of their number,
+#: so that neither a cell nor the list of a hot source's cells gets long.
+CELL_DOCS = 256
 #: Sources beyond this need coarser names: their weights are held on the driver.
 MAX_SOURCES = 100_000
 #: Default target weights are the sources' sizes to this power.
@@ -124,7 +126,8 @@ def mix_slots(
         spark.createDataFrame([(k, slots[k]) for k in names], f"{key} string, {share} long")
     )
 
-    cells = max(1, -(-sum(counts.values()) // cell_docs))
+    rows = sum(counts.values())
+    cells = max(1, -(-rows // max(cell_docs, math.isqrt(rows))))
     text_id = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     named = named.withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), text_id).cast("binary")))
     # Cells are ranges of the hash, so their number does not change the order.
