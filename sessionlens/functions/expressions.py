@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionlens.schema import EVENT_TYPES
+from sessionlens.schema import DEFAULT_URL, EVENT_TYPES
 
 MICROS = 1_000_000
 
@@ -49,9 +49,10 @@ def time_bucket(ts: Column, seconds: float) -> Column:
 def page_key() -> Column:
     """What counts as a visited page: a page view's url or a viewed product's id.
 
-    The two kinds share one name space on purpose: equal strings count once.
+    A page view without a url is one of the default url. The two kinds share one name
+    space on purpose: equal strings count once.
     """
-    return F.when(is_pageview(), F.col("url")).when(
+    return F.when(is_pageview(), F.coalesce(F.col("url"), F.lit(DEFAULT_URL))).when(
         is_type("product_view"), F.col("product_id")
     )
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sessionlens.ml.scaler import StandardScaler
 from sessionlens.schema import FEATURE_COLUMNS
 
+#: Parts of the training rows whose weights are averaged; part of the model's definition.
+SHARDS = 8
 # Layer widths, passes, batch size and optimiser settings.
 LAYERS = (9, 5, 2, 5, 9)
 EPOCHS = 120
@@ -86,19 +88,18 @@ class Autoencoder:
         columns: list[str] = FEATURE_COLUMNS,
         key: str = "session_id",
         epochs: int = EPOCHS,
-        shards: int | None = None,
+        shards: int = SHARDS,
         seed: int = 42,
         output: str = "sigmoid",
     ) -> Autoencoder:
         """Train on the given (normal) rows.
 
         The shards must be equal in every run for equal weights: rows go to a
-        shard by key hash and are ordered inside it. At scale give about one shard
-        per executor core.
+        shard by key hash and are ordered inside it, so equal ``shards`` give equal
+        weights on any cluster. At scale give about one shard per executor core.
         """
         scaler = StandardScaler.fit(rows, columns)
         layers = (len(columns), *LAYERS[1:-1], len(columns))
-        shards = shards or rows.sparkSession.sparkContext.defaultParallelism
         shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
         vectors = (
             rows.select(

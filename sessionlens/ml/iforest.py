@@ -63,23 +63,17 @@ def subsamples(
 ) -> DataFrame:
     """``sample_rows`` rows for every tree, at most trees * sample_rows in total.
 
-    A bounded pool of the rows with the smallest hash is taken first, a top-k that
-    keeps a fixed number of rows per task. With enough rows each tree gets its own
-    block of the pool. A smaller table is its own pool and every tree draws from
-    all of it. Either way the size depends on the parameters only.
+    One rule for every size: a filter on the key's hash leaves a pool of about as many
+    rows as the trees want together, or all rows of a smaller table, and every tree
+    draws from the pool by a hash of its own. Nothing is sorted over the table.
     """
     want = trees * sample_rows
-    picked = (
-        rows.select(hash_rank(F.col(key), seed).alias("_rank"), *[F.col(c).cast("double") for c in columns])
-        .orderBy("_rank")
-        .limit(want)
-    )
-    rank = F.row_number().over(W.orderBy("_rank")) - 1
-    pool = picked.withColumn("_i", rank).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
-    every_tree = F.sequence(F.lit(0), F.lit(trees - 1))
-    own_tree = F.array(F.call_function("div", F.col("_i"), F.lit(sample_rows)).cast("int"))
-    tree = F.when(F.col("_n") == want, own_tree).otherwise(every_tree)
-    drawn = pool.withColumn("tree", F.explode(tree))
+    # The pool's size varies by about the root of it; it must not fall short of a sample.
+    share = min(1.0, (want + 8 * want**0.5) / max(1, rows.count()))
+    pool = rows.select(
+        hash_rank(F.col(key), seed).alias("_rank"), *[F.col(c).cast("double") for c in columns]
+    ).where(F.col("_rank") <= F.lit(int(share * (1 << 60))))
+    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     order = W.partitionBy("tree").orderBy(F.xxhash64("_rank", "tree", F.lit(seed)), "_rank")
     return (
         drawn.withColumn("_pos", F.row_number().over(order))

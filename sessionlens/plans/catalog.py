@@ -675,9 +675,7 @@ def stream_close_sessions(spark, sf_dir):
         "unique_pages",
         "avg_gap",
         "cart_ratio",
-        F.when(F.col("close_reason").isin("idle", "flush"), "timeout")
-        .otherwise(F.col("close_reason"))
-        .alias("close_reason"),
+        "close_reason",
     )
 
 

@@ -597,12 +597,15 @@ def build() -> dict[str, str]:
 
     # streaming
     q["stream_live_features"] = _live(f"SELECT {_LIVE_COLUMNS} FROM live")
+    # At the end of the stream its clock is the newest event less the watermark's delay.
     q["stream_close_sessions"] = _buf(
-        """SELECT session_id, opened_at, last_seen, event_count, events_per_minute,
+        f"""SELECT session_id, opened_at, last_seen, event_count, events_per_minute,
           unique_pages_visited AS unique_pages, avg_time_between_events AS avg_gap,
           cart_to_purchase_ratio AS cart_ratio,
-          CASE WHEN close_reason IN ('idle', 'flush') THEN 'timeout' ELSE close_reason END
-            AS close_reason FROM closed"""
+          CASE WHEN close_reason IN ('exit', 'cap') THEN close_reason
+               WHEN final AND date_diff('microsecond', last_seen,
+                 (SELECT max("timestamp") FROM ev) - INTERVAL 1 HOUR) <= {IDLE_MICROS}
+               THEN 'flush' ELSE 'idle' END AS close_reason FROM closed"""
     )
     q["stream_session_window"] = f"""
       SELECT user_id, count(*) AS event_count, min(ts) AS opened_at, max(ts) AS last_seen

@@ -29,6 +29,10 @@ from sessionlens.streaming.sinks import BatchWriter
 ERROR_QUANTILE = 0.95
 
 
+# Messages of a replayed slice; there are two slices at least, to cross a restart.
+WAVE_ROWS = 1_000_000
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """Materialise rows that several passes will read, in the shared folder."""
     ensure_checkpoint_dir(rows.sparkSession)
@@ -94,11 +98,13 @@ def drain_in_waves(
     build: Callable[[DataFrame], DataFrame],
     write: BatchWriter,
     mode: str,
-    waves: int = 2,
+    waves: int | None = None,
     last: DataFrame | None = None,
 ) -> None:
     """Replay stored messages as a stream: publish a time slice, drain it, repeat.
 
+    Without ``waves`` there is a slice for every WAVE_ROWS messages, two at least.
+
     Every wave restarts the job from its checkpoint and is one micro-batch; the
     optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``.
     """
@@ -108,7 +114,9 @@ def drain_in_waves(
     span = kept.agg(
         F.min(F.unix_micros("timestamp")).alias("lo"),
         F.max(F.unix_micros("timestamp")).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
     ).first()
+    waves = waves or max(2, -(-span["n"] // WAVE_ROWS))
     width = (span["hi"] - span["lo"]) // waves + 1
     wave = F.call_function(
         "div", F.unix_micros("timestamp") - F.lit(span["lo"]), F.lit(width)

@@ -25,7 +25,7 @@ def stream_live_features(messages: DataFrame, delay: str = WATERMARK) -> DataFra
     """Live features per session for update mode.
 
     The watermark column is not part of the key, so a late event still updates
-    its session and no session's state is dropped. ``idle_session_features``
+    its session and no session's state is dropped. ``stream_session_window``
     gives up late events in exchange for bounded state.
     """
     return live_session_features(events_from(messages).withWatermark("timestamp", delay))
@@ -78,11 +78,17 @@ def start(
 
 
 def drain(
-    stream: DataFrame, checkpoint: str, write: BatchWriter, mode: str = "update", timeout: int = 600
+    stream: DataFrame,
+    checkpoint: str,
+    write: BatchWriter,
+    mode: str = "update",
+    timeout: int | None = None,
 ) -> StreamingQuery:
-    """Process all available input and wait for the end, at most ``timeout`` seconds."""
+    """Process all available input and wait for the end, or at most ``timeout`` seconds."""
     query = start(stream, checkpoint, write, mode)
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not end within {timeout} s")
     if query.exception():
@@ -91,7 +97,7 @@ def drain(
 
 
 def drain_to_files(
-    stream: DataFrame, checkpoint: str, path: str, mode: str = "append", timeout: int = 600
+    stream: DataFrame, checkpoint: str, path: str, mode: str = "append", timeout: int | None = None
 ) -> StreamingQuery:
     """Drain into one parquet folder per batch, for streams without an event time."""
 

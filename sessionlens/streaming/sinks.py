@@ -20,8 +20,12 @@ def offline_sink(path: str, run: str) -> BatchWriter:
     """Append every non-empty batch to the history."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            append_batch(batch, path, run, batch_id)
+        cached = batch.persist()  # a stateful batch is computed once
+        try:
+            if not cached.isEmpty():
+                append_batch(cached, path, run, batch_id)
+        finally:
+            cached.unpersist()
 
     return write
 
@@ -30,23 +34,33 @@ def online_sink(path: str, run: str) -> BatchWriter:
     """Add a batch's newest row per session to the online log.
 
     A write costs the batch, never the whole table; reading picks the newest row
-    per key, and ``compact_online`` shortens the log.
+    per key, and ``compact_online`` shortens the log. Among equal event times the last
+    write wins: run names must sort in the order in which the runs were started.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_batch(latest_per_session(batch), path, run, batch_id)
+        cached = latest_per_session(batch).persist()
+        try:
+            if not cached.isEmpty():
+                append_batch(cached, path, run, batch_id)
+        finally:
+            cached.unpersist()
 
     return write
 
 
+#: What makes a row of the online log newer than another of its session.
+WRITE_ORDER = ("event_timestamp", "run", "batch_id")
+
+
 def _log_rows(spark: SparkSession, path: str) -> DataFrame:
-    return scan_offline(spark, path).drop("run", "event_date")
+    return scan_offline(spark, path).drop("event_date")
 
 
 def read_online(spark: SparkSession, path: str) -> DataFrame:
     """Newest row per session, the last write winning among equal event times."""
     rows = _log_rows(spark, path)
-    return latest_per_session(rows, order=("event_timestamp", "batch_id")).drop("batch_id")
+    return latest_per_session(rows, order=WRITE_ORDER).drop("run", "batch_id")
 
 
 def lookup_online(
@@ -55,9 +69,9 @@ def lookup_online(
     """Unexpired rows at ``now``; only the event dates within the expiry are read."""
     oldest = now - F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
     recent = scan_offline(spark, path).where(F.col("event_date") >= F.to_date(oldest))
-    newest = latest_per_session(
-        recent.drop("run", "event_date"), order=("event_timestamp", "batch_id")
-    ).drop("batch_id")
+    newest = latest_per_session(recent.drop("event_date"), order=WRITE_ORDER).drop(
+        "run", "batch_id"
+    )
     return online_lookup_ttl(newest, now, ttl).where("fresh").drop("fresh")
 
 

@@ -174,3 +174,10 @@ def test_approximate_counts_stay_near_exact(spark):
 
     for row in approx_unique_pages(many).collect():
         assert abs(row["unique_pages_visited"] - 6667) < 0.2 * 6667
+
+
+def test_omitted_url_counts_as_the_default_page(make_events):
+    rows = [event(1, "pageview", 0), event(2, "pageview", 5), event(3, "pageview", 9, url="https://example.com")]
+    got = session_features(make_events(rows)).first()
+    assert got["unique_pages_visited"] == 1.0
+    assert got["page_revisit_ratio"] == pytest.approx(2 / 3)

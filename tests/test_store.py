@@ -102,6 +102,15 @@ def test_online_log_read_lookup_and_compaction(spark, tmp_path):
     assert values(sinks.read_online(spark, compact)) == {"a": 3, "b": 1, "c": 5}
 
 
+def test_a_later_run_wins_over_a_larger_batch(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sinks.online_sink(path, "r0")(spark.createDataFrame([("a", at(0), 1)], ROW), 5)
+    sinks.online_sink(path, "r1")(spark.createDataFrame([("a", at(0), 2)], ROW), 0)
+    sinks.online_sink(path, "r1")(spark.createDataFrame([], ROW), 1)
+    assert [r["v"] for r in sinks.read_online(spark, path).collect()] == [2]
+    assert [r["v"] for r in sinks.lookup_online(spark, path, F.lit(at(1))).collect()] == [2]
+
+
 def test_lookup_prunes_old_dates(spark, tmp_path):
     path = str(tmp_path / "log")
     append_batch(spark.createDataFrame([("a", at(0), 1), ("b", at(-9 * 86400), 2)], ROW), path, "r", 0)
