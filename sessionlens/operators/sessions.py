@@ -239,24 +239,54 @@ def coverage_counts(seen: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+# Arrival groups whose newest times are scanned together.
+ARRIVAL_BLOCK = 4096
+LATE_POLICIES = ("keep", "drop", "side")
+
+
 def late_events(
-    events: DataFrame, arrival: str, delay_seconds: float
+    events: DataFrame,
+    arrival: str,
+    delay_seconds: float,
+    policy: str = "side",
+    block: int = ARRIVAL_BLOCK,
 ) -> DataFrame:
-    """Events older than the watermark formed by earlier arrival groups.
+    """Events against the watermark formed by earlier arrival groups.
+
+    ``arrival`` numbers the micro-batches. The watermark of a batch is the newest event
+    time of all earlier batches minus the delay. ``policy`` says what is returned:
+    ``side`` the late events with their ``watermark``, ``drop`` the other ones, ``keep``
+    all events with the flag ``late``. Events without a time or an arrival are not late.
 
-    ``arrival`` numbers the micro-batches. The watermark of a batch is the newest
-    event time of all earlier batches minus the delay. One summary row per batch
-    carries it, so the running maximum never touches the events themselves.
+    The running maximum goes over one summary row per batch, in blocks of ``block``
+    batches, and over one row per block; it never touches the events themselves.
     """
+    if policy not in LATE_POLICIES:
+        raise ValueError(f"policy {policy!r} is not one of {LATE_POLICIES}")
     newest = events.groupBy(arrival).agg(F.max("timestamp").alias("_newest"))
-    before = W.orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)
-    marks = newest.select(
-        arrival,
-        (F.max("_newest").over(before) - F.make_dt_interval(secs=F.lit(delay_seconds)))
-        .alias("watermark"),
+    newest = newest.withColumn("_block", F.floor(F.col(arrival) / block))
+    earlier = (W.unboundedPreceding, -1)
+    blocks = newest.groupBy("_block").agg(F.max("_newest").alias("_newest")).select(
+        "_block",
+        F.max("_newest").over(W.orderBy("_block").rowsBetween(*earlier)).alias("_carried"),
     )
-    return (
-        events.join(marks, arrival)
-        .where(F.col("timestamp") < F.col("watermark"))
-        .select(*events.columns, "watermark")
+    inside = W.partitionBy("_block").orderBy(arrival).rowsBetween(*earlier)
+    marks = (
+        newest.withColumn("_local", F.max("_newest").over(inside))
+        .join(blocks, "_block")
+        .select(
+            arrival,
+            (
+                F.greatest("_local", "_carried")
+                - F.make_dt_interval(secs=F.lit(delay_seconds))
+            ).alias("watermark"),
+        )
+    )
+    marked = events.join(marks, arrival, "left").withColumn(
+        "late", F.coalesce(F.col("timestamp") < F.col("watermark"), F.lit(False))
     )
+    if policy == "keep":
+        return marked.select(*events.columns, "late")
+    if policy == "drop":
+        return marked.where(~F.col("late")).select(*events.columns)
+    return marked.where("late").select(*events.columns, "watermark")

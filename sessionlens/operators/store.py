@@ -87,6 +87,7 @@ def asof_feature_join(
 ) -> DataFrame:
     """For each request the newest feature row not after its time; misses stay.
 
+    A request without a key or a time is a miss; feature rows without them serve nobody.
     Requests and feature rows are put on one time line per key and scanned once
     per (key, slot); the newest row of earlier slots is carried by a summary with
     one row per (key, slot). Nothing is paired, so a key with many requests and
@@ -95,14 +96,16 @@ def asof_feature_join(
     ts = "event_timestamp"
     extra = [c for c in requests.columns if c not in (key, at)]
     value = F.struct(F.col(ts), *features)
-    timeline = history.select(
+    askable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    known = history.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    timeline = known.select(
         key,
         F.col(ts).alias("_at"),
         F.lit(0).alias("_ask"),
         value.alias("_value"),
         *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in extra],
     ).unionByName(
-        requests.select(
+        requests.where(askable).select(
             key,
             F.col(at).alias("_at"),
             F.lit(1).alias("_ask"),
@@ -137,10 +140,17 @@ def asof_feature_join(
         found = found.withColumn(
             "_hit", F.when(age <= F.lit(ttl.total_seconds()), F.col("_hit"))
         )
-    return found.select(
+    answered = found.select(
         key,
         F.col("_at").alias(at),
         *extra,
         F.col(f"_hit.{ts}").alias(ts),
         *[F.col(f"_hit.{c}").alias(c) for c in features],
     )
+    misses = requests.where(~askable).select(
+        key,
+        at,
+        *extra,
+        *[F.lit(None).cast(history.schema[c].dataType).alias(c) for c in (ts, *features)],
+    )
+    return answered.unionByName(misses)

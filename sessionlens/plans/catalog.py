@@ -110,8 +110,8 @@ def decode_events(spark, sf_dir):
 def scan_offline(spark, sf_dir):
     path = fresh_dir(spark, "history")
     offline.append_batch(features.feature_rows(_events(spark, sf_dir)), path, "r0", 0)
-    rows = offline.scan_offline(spark, path).where(F.col("agent_type") == "bot")
-    return rows.select("session_id", "event_timestamp", "event_type_diversity", "has_payment")
+    rows = offline.scan_offline(spark, path)
+    return rows.select("session_id", "event_timestamp", "agent_type", *FEATURE_COLUMNS)
 
 
 _LIVE_EXACT = (
@@ -148,8 +148,10 @@ def _drain_live(spark, sf_dir, writer):
 def sink_offline(spark, sf_dir):
     path = fresh_dir(spark, "history")
     _drain_live(spark, sf_dir, sinks.offline_sink(path, "r0"))
-    history = offline.scan_offline(spark, path)
-    return history.groupBy("session_id").agg(F.max("event_count").alias("event_count"))
+    # Every snapshot of every micro-batch, in which the history differs from the log.
+    return offline.scan_offline(spark, path).select(
+        "session_id", "event_timestamp", "event_count", "payment_count", "pageview_count"
+    )
 
 
 @query
@@ -625,15 +627,29 @@ def close_sessions(spark, sf_dir):
     return closed.drop("run", "part")
 
 
-@query
-def late_events(spark, sf_dir):
+def _late(spark, sf_dir, policy):
     seq = F.col("arrival_seq")
     delayed = seq + F.when(seq % 50 == 3, 2 * ARRIVAL_BATCH).otherwise(0)
     arrived = _events(spark, sf_dir).withColumn(
         "arrival", F.call_function("div", delayed, F.lit(ARRIVAL_BATCH))
     )
-    late = sessions.late_events(arrived, "arrival", LATE_SECONDS)
-    return late.select("event_id", "session_id", "timestamp", "arrival")
+    return sessions.late_events(arrived, "arrival", LATE_SECONDS, policy)
+
+
+@query
+def late_events(spark, sf_dir):
+    late = _late(spark, sf_dir, "side")
+    return late.select("event_id", "session_id", "timestamp", "arrival", "watermark")
+
+
+@query
+def late_events_kept(spark, sf_dir):
+    return _late(spark, sf_dir, "keep").select("event_id", "session_id", "arrival", "late")
+
+
+@query
+def late_events_dropped(spark, sf_dir):
+    return _late(spark, sf_dir, "drop").select("event_id", "session_id", "arrival")
 
 
 # --- streaming ------------------------------------------------------------------
@@ -679,6 +695,37 @@ def stream_close_sessions(spark, sf_dir):
     )
 
 
+def _drain_rows(spark, messages, build):
+    out = fresh_dir(spark, "drained")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    pipeline.drain_in_waves(messages, build, write, "append")
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def stream_new_sessions(spark, sf_dir):
+    messages = tables.raw_topic(spark, sf_dir, faults=False)
+    return _drain_rows(spark, messages, jobs.stream_new_sessions).select("session_id")
+
+
+@query
+def stream_unique_events(spark, sf_dir):
+    """One message in ten is delivered twice."""
+    messages = tables.raw_topic(spark, sf_dir, faults=False)
+    redelivered = messages.unionByName(messages.where(F.col("seq") % 10 == 3))
+    rows = _drain_rows(spark, redelivered, jobs.stream_unique_events)
+    return rows.select("event_id", "event_type", "session_id", "timestamp")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    rows = _drain_rows(spark, tables.raw_topic(spark, sf_dir), jobs.stream_quarantine)
+    return rows.select("event_id", F.concat_ws(", ", "errors").alias("errors"))
+
+
 @query
 def stream_session_window(spark, sf_dir):
     out = fresh_dir(spark, "windows")
@@ -704,11 +751,14 @@ def stream_session_window(spark, sf_dir):
 # --- feature store, labels, detectors, evaluation -------------------------------
 
 
+# Live features that rest on approximate distinct counts.
+_APPROXIMATE = {"unique_pages_visited", "event_type_diversity", "page_revisit_ratio"}
+
+
 @query
 def enforce_contract(spark, sf_dir):
     live_rows = _live(spark, sf_dir)
-    approximate = {"unique_pages_visited", "event_type_diversity", "page_revisit_ratio"}
-    kept = [c for c in FEATURE_COLUMNS if c not in approximate]
+    kept = [c for c in FEATURE_COLUMNS if c not in _APPROXIMATE]
     return store.enforce_contract(live_rows).select("session_id", "event_timestamp", *kept)
 
 
@@ -718,7 +768,7 @@ def _history(spark, sf_dir):
     )
 
 
-_SERVED = ("event_count", "events_per_minute", "unique_pages_visited")
+_SERVED = ("event_count", *FEATURE_COLUMNS)
 
 
 @query
@@ -745,14 +795,18 @@ def asof_feature_join(spark, sf_dir):
     )
     history = pipeline.stored(_history(spark, sf_dir))
     return store.asof_feature_join(
-        requests, history, list(_SERVED), slot_seconds=_width(spark, sf_dir)
+        requests,
+        history,
+        list(_SERVED),
+        ttl=timedelta(hours=TTL_HOURS),
+        slot_seconds=_width(spark, sf_dir),
     )
 
 
 @query
 def training_frame(spark, sf_dir):
     rows = frame.training_frame(_live(spark, sf_dir))
-    return rows.select("session_id", "label", "cart_to_purchase_ratio", "events_per_minute")
+    return rows.select("session_id", "label", *[c for c in FEATURE_COLUMNS if c not in _APPROXIMATE])
 
 
 @query

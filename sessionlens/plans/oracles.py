@@ -11,6 +11,7 @@ from sessionlens.plans.catalog import (
     SHARE,
     TTL_HOURS,
 )
+from sessionlens.plans.pipeline import WAVE_ROWS
 from sessionlens.schema import EVENT_TYPES, FEATURE_COLUMNS
 
 IDLE_MICROS = IDLE_SECONDS * 1_000_000
@@ -350,10 +351,24 @@ def build() -> dict[str, str]:
     )
     q["decode_events"] = _ev(f"SELECT {_FLAT} FROM ev")
     q["scan_offline"] = _feat(
-        "SELECT session_id, event_timestamp, event_type_diversity, has_payment "
-        "FROM features WHERE agent_type = 'bot'"
+        f"SELECT session_id, event_timestamp, agent_type, {', '.join(FEATURE_COLUMNS)} FROM features"
+    )
+    # A snapshot of a session for each time slice that holds events of it.
+    q["sink_offline"] = _ev(
+        f"""SELECT session_id, max(newest) OVER upto AS event_timestamp,
+          {", ".join(f"CAST(sum({c}) OVER upto AS BIGINT) AS {c}"
+                     for c in ("event_count", "payment_count", "pageview_count"))}
+          FROM (SELECT session_id, wave, max("timestamp") AS newest, count(*) AS event_count,
+                  count(*) FILTER (event_type = 'payment') AS payment_count,
+                  count(*) FILTER (event_type = 'pageview') AS pageview_count
+                FROM (SELECT *, (epoch_us("timestamp") - lo) // ((hi - lo) // waves + 1) AS wave
+                      FROM ev, (SELECT min(epoch_us("timestamp")) AS lo,
+                                  max(epoch_us("timestamp")) AS hi,
+                                  greatest(2, (count(*) + {WAVE_ROWS} - 1) // {WAVE_ROWS}) AS waves
+                                FROM ev))
+                GROUP BY session_id, wave)
+          WINDOW upto AS (PARTITION BY session_id ORDER BY wave)"""
     )
-    q["sink_offline"] = _live("SELECT session_id, event_count FROM live")
     q["sink_online_latest"] = _live(
         "SELECT session_id, event_timestamp, event_count, payment_count, agent_type FROM live"
     )
@@ -587,12 +602,16 @@ def build() -> dict[str, str]:
         "SELECT session_id, event_count, opened_at, last_seen, close_reason FROM closed"
     )
     delayed = f"arrival_seq + CASE WHEN arrival_seq % 50 = 3 THEN {2 * ARRIVAL_BATCH} ELSE 0 END"
-    q["late_events"] = _ev(
-        f"""SELECT event_id, session_id, "timestamp", arrival FROM (
+    marked = f"""(SELECT *, coalesce("timestamp" < watermark, false) AS late FROM (
           SELECT *, max("timestamp") OVER (ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING
-                                           AND 1 PRECEDING) AS newest
-          FROM (SELECT *, ({delayed}) // {ARRIVAL_BATCH} AS arrival FROM ev))
-          WHERE "timestamp" < newest - INTERVAL {int(LATE_SECONDS)} SECONDS"""
+                    AND 1 PRECEDING) - INTERVAL {int(LATE_SECONDS)} SECONDS AS watermark
+          FROM (SELECT *, ({delayed}) // {ARRIVAL_BATCH} AS arrival FROM ev)))"""
+    q["late_events"] = _ev(
+        f'SELECT event_id, session_id, "timestamp", arrival, watermark FROM {marked} WHERE late'
+    )
+    q["late_events_kept"] = _ev(f"SELECT event_id, session_id, arrival, late FROM {marked}")
+    q["late_events_dropped"] = _ev(
+        f"SELECT event_id, session_id, arrival FROM {marked} WHERE NOT late"
     )
 
     # streaming
@@ -607,6 +626,9 @@ def build() -> dict[str, str]:
                  (SELECT max("timestamp") FROM ev) - INTERVAL 1 HOUR) <= {IDLE_MICROS}
                THEN 'flush' ELSE 'idle' END AS close_reason FROM closed"""
     )
+    q["stream_new_sessions"] = _ev("SELECT DISTINCT session_id FROM ev")
+    q["stream_unique_events"] = _ev('SELECT event_id, event_type, session_id, "timestamp" FROM ev')
+    q["stream_quarantine"] = f"SELECT event_id, errors FROM ({q['quarantine_events']})"
     q["stream_session_window"] = f"""
       SELECT user_id, count(*) AS event_count, min(ts) AS opened_at, max(ts) AS last_seen
       FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, ts,
@@ -624,7 +646,7 @@ def build() -> dict[str, str]:
             AS session_duration_seconds, CAST(has_payment AS BIGINT) AS has_payment,
           signup_to_purchase_speed FROM live"""
     )
-    served = "event_count, events_per_minute, unique_pages_visited"
+    served = ", ".join(("event_count", *FEATURE_COLUMNS))
     newest = "PARTITION BY session_id ORDER BY last_seen DESC"
     latest = f"""newest AS (
       SELECT session_id, last_seen AS event_timestamp, {served} FROM closed
@@ -638,10 +660,12 @@ def build() -> dict[str, str]:
           FROM newest""",
         _GAPS, _BUFFERS, latest,
     )
+    in_time = f"""date_diff('microsecond', h.last_seen, a."timestamp")
+      <= {TTL_HOURS} * 3600000000"""
     q["asof_feature_join"] = _with(
         f"""SELECT a.session_id, a.event_id AS request_id, a."timestamp" AS asked_at,
-          h.last_seen AS event_timestamp, h.event_count, h.events_per_minute,
-          h.unique_pages_visited
+          {", ".join(f"CASE WHEN {in_time} THEN h.{c} END AS {n}" for c, n in
+                     [("last_seen", "event_timestamp"), *((c, c) for c in served.split(", "))])}
           FROM (SELECT * FROM ev WHERE event_type = 'checkout') a
           ASOF LEFT JOIN closed h
             ON a.session_id = h.session_id AND a."timestamp" >= h.last_seen""",
@@ -649,8 +673,9 @@ def build() -> dict[str, str]:
     )
     q["training_frame"] = _live(
         """SELECT session_id, CAST(agent_type IN ('bot', 'fraud') AS INTEGER) AS label,
-          coalesce(cart_to_purchase_ratio, 0) AS cart_to_purchase_ratio, events_per_minute
-          FROM live"""
+          coalesce(cart_to_purchase_ratio, 0) AS cart_to_purchase_ratio, events_per_minute,
+          avg_time_between_events, session_duration_seconds, has_payment,
+          signup_to_purchase_speed FROM live"""
     )
     q["split_train_test"] = _with("SELECT session_id, held_out FROM split", _TEST_ROWS)
 

@@ -13,11 +13,14 @@ def append_batch(
 
     A replayed batch replaces its own folder, so a retry after a failure cannot
     duplicate rows. ``run`` must be new for every new checkpoint, because batch
-    ids start again at 0 there. Inside, rows are partitioned by event date.
+    ids start again at 0 there. Inside, rows are partitioned by event date. Rows of a
+    date are brought together before the write, large dates in several tasks, so that a
+    batch leaves a file or a few for each date instead of one for each task and date.
     """
     dated = rows.withColumn("event_date", F.to_date(event_time))
     (
-        dated.write.mode("overwrite")
+        dated.hint("rebalance", "event_date")
+        .write.mode("overwrite")
         .partitionBy("event_date")
         .parquet(f"{path}/run={run}/batch_id={batch_id}")
     )

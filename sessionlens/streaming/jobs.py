@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionlens.operators.decode import decode_events, drop_tombstones
+from sessionlens.operators.decode import decode_checked, decode_events, drop_tombstones
 from sessionlens.operators.live import WATERMARK, live_session_features
+from sessionlens.operators.validate import quarantine_events
 from sessionlens.streaming.sinks import BatchWriter
 
 
@@ -15,12 +16,17 @@ def events_from(messages: DataFrame) -> DataFrame:
     """Decoded events of a message stream that name their session and time.
 
     Unreadable messages decode to all-null rows, which would otherwise share one
-    session; a quarantine branch of the same stream keeps them (see validation).
+    session; ``stream_quarantine`` on the same messages keeps them.
     """
     decoded = decode_events(drop_tombstones(messages))
     return decoded.where(F.col("session_id").isNotNull() & F.col("timestamp").isNotNull())
 
 
+def stream_quarantine(messages: DataFrame) -> DataFrame:
+    """Messages that break a rule, with the reasons, in append mode; no state."""
+    return quarantine_events(decode_checked(messages))
+
+
 def stream_live_features(messages: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Live features per session for update mode.
 
