@@ -130,6 +130,30 @@ def test_late_events(make_events):
     arrived = make_events(rows).withColumn("batch", F.col("arrival_seq"))
     late = sessions.late_events(arrived, "batch", 60)
     assert [r["event_id"] for r in late.collect()] == ["e000003"]
+    for policy in ("keep", "drop", "side"):
+        with pytest.raises(ValueError):
+            sessions.late_events(arrived, "batch", 60, f"{policy}s")
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_late_policies_do_not_depend_on_blocks(make_events, block):
+    rng = random.Random(9)
+    moments = [rng.randrange(1000) for _ in range(60)]
+    arrived = make_events([event(i, "click", t) for i, t in enumerate(moments)]).withColumn(
+        "batch", F.floor(F.col("arrival_seq") / 4)
+    )
+    late = {
+        f"e{i:06d}"
+        for i, t in enumerate(moments)
+        if i >= 4 and t < max(moments[: i // 4 * 4]) - 100
+    }
+    kept, dropped, aside = (
+        sessions.late_events(arrived, "batch", 100, policy, block).collect()
+        for policy in ("keep", "drop", "side")
+    )
+    assert {r["event_id"] for r in kept if r["late"]} == late and len(kept) == 60
+    assert {r["event_id"] for r in aside} == late
+    assert len(dropped) == 60 - len(late) and not {r["event_id"] for r in dropped} & late
 
 
 def test_densest_chunk(make_events):

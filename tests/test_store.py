@@ -152,3 +152,22 @@ def test_rule_bands(spark):
     assert wild["flags"] == 9
     nulls = rules.rule_flags(feature_row(spark, cart_to_purchase_ratio=None)).first()
     assert nulls["full_cart"] == 0
+
+
+def test_requests_without_key_or_time_are_misses(spark):
+    history = spark.createDataFrame([("a", at(0), 1), (None, at(0), 2), ("a", None, 3)], ROW)
+    asks = [(1, "a", at(5)), (2, None, at(5)), (3, "a", None)]
+    got = store.asof_feature_join(
+        spark.createDataFrame(asks, "request_id long, session_id string, asked_at timestamp"),
+        history,
+        ["v"],
+        slot_seconds=60.0,
+    ).collect()
+    assert {r["request_id"]: r["v"] for r in got} == {1: 1, 2: None, 3: None}
+
+
+def test_a_batch_leaves_one_file_for_each_small_date(spark, tmp_path):
+    rows = [(f"s{i}", at(86400 * (i % 3)), i) for i in range(300)]
+    append_batch(spark.createDataFrame(rows, ROW).repartition(8), str(tmp_path / "h"), "r", 0)
+    assert len(list((tmp_path / "h").rglob("*.parquet"))) == 3
+    assert scan_offline(spark, str(tmp_path / "h")).count() == 300
