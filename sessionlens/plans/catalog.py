@@ -416,14 +416,42 @@ def agg_exact_type_diversity(spark, sf_dir):
     )
 
 
-@query
-def agg_approx_unique_pages(spark, sf_dir):
-    return aggregates.approx_unique_pages(_events(spark, sf_dir))
+# Four standard errors of an approximate distinct count, and one for the rounding.
+BOUND_SHARE, BOUND_LEAST = 0.2, 1
 
 
-@query
-def agg_approx_type_diversity(spark, sf_dir):
-    return aggregates.approx_type_diversity(_events(spark, sf_dir))
+def _bounded(approximate, events, name, counted):
+    """Rows of approximate counts, the exact ones and whether they are within the bound."""
+    exact = events.groupBy("session_id").agg(F.count_distinct(counted).alias(f"exact_{name}"))
+    bound = BOUND_SHARE * F.col(f"exact_{name}") + BOUND_LEAST
+    return approximate.join(exact, "session_id").withColumn(
+        f"{name}_within_bound", F.abs(F.col(name) - F.col(f"exact_{name}")) <= bound
+    )
+
+
+def _approximate_query(name: str, column: str, counted: str, build: Callable) -> None:
+    """Register exact counts with a flag: the approximate ones have no twin."""
+
+    def run(spark, sf_dir):
+        events = _events(spark, sf_dir)
+        rows = _bounded(build(events), events, column, counted)
+        return rows.select("session_id", f"exact_{column}", f"{column}_within_bound")
+
+    _register(name, run)
+
+
+for _name, _column, _counted, _build in (
+    ("agg_approx_unique_pages", "unique_pages_visited", "url", aggregates.approx_unique_pages),
+    (
+        "agg_approx_type_diversity",
+        "event_type_diversity",
+        "event_type",
+        aggregates.approx_type_diversity,
+    ),
+    ("live_unique_pages", "unique_pages_visited", "url", live.live_session_features),
+    ("live_diversity", "event_type_diversity", "event_type", live.live_session_features),
+):
+    _approximate_query(_name, _column, _counted, _build)
 
 
 @query
@@ -475,7 +503,32 @@ def session_features(spark, sf_dir):
 
 @query
 def live_session_features(spark, sf_dir):
-    return _live(spark, sf_dir)
+    events = _events(spark, sf_dir)
+    rows = live.live_session_features(events)
+    for column, counted in (("unique_pages_visited", "url"), ("event_type_diversity", "event_type")):
+        rows = _bounded(rows, events, column, counted)
+    return rows.select(
+        *_LIVE_EXACT,
+        *[
+            f"{p}{s}"
+            for c in ("unique_pages_visited", "event_type_diversity")
+            for p, s in (("exact_", c), (c, "_within_bound"))
+        ],
+    )
+
+
+@query
+def live_revisit(spark, sf_dir):
+    """The ratio from exact counts, and whether the live one is what its counts allow."""
+    events = _events(spark, sf_dir)
+    rows = _bounded(live.live_session_features(events), events, "unique_pages_visited", "url")
+    views = F.nullif(F.col("pageview_count"), F.lit(0))
+    exact = F.coalesce(1 - F.col("exact_unique_pages_visited") / views, F.lit(0.0))
+    allowed = (BOUND_SHARE * F.col("exact_unique_pages_visited") + BOUND_LEAST) / views
+    near = F.abs(F.col("page_revisit_ratio") - exact) <= F.coalesce(allowed, F.lit(0.0)) + 1e-9
+    return rows.select(
+        "session_id", exact.alias("exact_page_revisit_ratio"), near.alias("within_bound")
+    )
 
 
 def _feature_query(name: str, feature: str) -> None:
@@ -507,14 +560,11 @@ def _live_query(name: str, feature: str) -> None:
 
 for _name, _feature in {
     "live_epm": "events_per_minute",
-    "live_unique_pages": "unique_pages_visited",
     "live_avg_gap": "avg_time_between_events",
     "live_cart_ratio": "cart_to_purchase_ratio",
     "live_duration": "session_duration_seconds",
-    "live_diversity": "event_type_diversity",
     "live_has_payment": "has_payment",
     "live_signup_speed": "signup_to_purchase_speed",
-    "live_revisit": "page_revisit_ratio",
     "live_event_timestamp": "event_timestamp",
 }.items():
     _live_query(_name, _feature)

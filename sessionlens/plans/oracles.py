@@ -614,6 +614,29 @@ def build() -> dict[str, str]:
         f"SELECT event_id, session_id, arrival FROM {marked} WHERE NOT late"
     )
 
+    # approximate counts: exact ones, each approximation within its bound
+    pages = 'count(DISTINCT url) AS exact_unique_pages_visited, true AS unique_pages_visited_within_bound'
+    kinds = (
+        "count(DISTINCT event_type) AS exact_event_type_diversity, "
+        "true AS event_type_diversity_within_bound"
+    )
+    for name, counts in (
+        ("agg_approx_unique_pages", pages),
+        ("live_unique_pages", pages),
+        ("agg_approx_type_diversity", kinds),
+        ("live_diversity", kinds),
+    ):
+        q[name] = _ev(f"SELECT session_id, {counts} FROM ev GROUP BY session_id")
+    q["live_session_features"] = _live(
+        f"""SELECT {_LIVE_COLUMNS}, d.* EXCLUDE (session_id) FROM live JOIN
+          (SELECT session_id, {pages}, {kinds} FROM ev GROUP BY session_id) d USING (session_id)"""
+    )
+    q["live_revisit"] = _ev(
+        """SELECT session_id, coalesce(1 - count(DISTINCT url)
+            / nullif(CAST(count(*) FILTER (event_type = 'pageview') AS DOUBLE), 0), 0.0)
+            AS exact_page_revisit_ratio, true AS within_bound FROM ev GROUP BY session_id"""
+    )
+
     # streaming
     q["stream_live_features"] = _live(f"SELECT {_LIVE_COLUMNS} FROM live")
     # At the end of the stream its clock is the newest event less the watermark's delay.

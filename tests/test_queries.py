@@ -10,12 +10,6 @@ from sessionlens.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 ORACLES = oracles.build()
 ROWS_ONLY = {
-    "agg_approx_unique_pages",
-    "agg_approx_type_diversity",
-    "live_unique_pages",
-    "live_diversity",
-    "live_revisit",
-    "live_session_features",
     "feature_drift",
     "dq_live_scorecard",
     "isolation_forest_score",
