@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from sessionlens.ml.quantile import exact_quantile
 
+# Names of the logged metrics.
+ANOMALY_METRICS = {
+    "precision": "precision_anomaly",
+    "recall": "recall_anomaly",
+    "f1": "f1_anomaly",
+}
+AGENT_METRICS = {"bot": "bot_recall", "fraud": "fraud_recall"}
+
 
 def flag_above(rows: DataFrame, score: str, threshold: float | Column) -> DataFrame:
     """``prediction`` 1 where the score lies above the threshold."""
@@ -116,16 +124,18 @@ def run_rows(
             F.array(
                 *[
                     F.struct(
-                        F.lit(f"{m}_anomaly").alias("key"),
+                        F.lit(name).alias("key"),
                         F.col(m).cast("string").alias("value"),
                     )
-                    for m in ("precision", "recall", "f1")
+                    for m, name in ANOMALY_METRICS.items()
                 ]
             )
         )
     )
-    by_agent = agents.where(F.col("agent_type").isin("bot", "fraud")).select(
-        F.concat("agent_type", F.lit("_recall")).alias("key"),
+    by_agent = agents.where(F.col("agent_type").isin(*AGENT_METRICS)).select(
+        F.when(F.col("agent_type") == "bot", F.lit(AGENT_METRICS["bot"]))
+        .otherwise(F.lit(AGENT_METRICS["fraud"]))
+        .alias("key"),
         F.col("recall").cast("string").alias("value"),
     )
     metrics = anomaly.unionByName(by_agent).select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The limits of the bands.
 @dataclass(frozen=True)
 class Bands:
     """Limits of the rule bands; the last three put numbers to vague wording."""

@@ -196,13 +196,12 @@ def publish_events(spark, sf_dir):
     events = tables.full_events(spark, sf_dir)
     messages = decode.publish_events(events)
     value = F.col("value")
+    plain = [f for f in events.schema.fields if f.name != "properties"]
     return messages.select(
         "key",
-        *[
-            F.get_json_object(value, f"$.{c}").alias(c)
-            for c in ("event_id", "event_type", "session_id", "user_id", "url", "product_id")
-        ],
+        *[F.get_json_object(value, f"$.{f.name}").cast(f.dataType).alias(f.name) for f in plain],
         F.get_json_object(value, "$.properties.ip").alias("ip"),
+        F.get_json_object(value, "$.properties.agent_type").alias("agent_type"),
     )
 
 
@@ -867,7 +866,7 @@ def split_train_test(spark, sf_dir):
 
 @query
 def standard_scale(spark, sf_dir):
-    columns = ["events_per_minute", "session_duration_seconds", "event_type_diversity"]
+    columns = list(FEATURE_COLUMNS)
     rows = pipeline.stored(features.session_features(_events(spark, sf_dir), columns))
     scaled = StandardScaler.fit(rows, columns).transform(rows)
     return scaled.select("session_id", *[F.round(c, 6).alias(c) for c in columns])

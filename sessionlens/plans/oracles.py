@@ -383,8 +383,7 @@ def build() -> dict[str, str]:
         "count(DISTINCT session_id) AS online_keys FROM ev"
     )
     q["publish_events"] = _ev(
-        "SELECT user_id AS key, event_id, event_type, session_id, user_id, url, product_id, ip "
-        "FROM ev"
+        "SELECT user_id AS key, * EXCLUDE (arrival_seq, is_exit) FROM ev"
     )
     q["tap_pageviews"] = _ev(
         "SELECT event_type, user_id, url FROM ev WHERE event_type = 'pageview'"
@@ -704,11 +703,11 @@ def build() -> dict[str, str]:
 
     def scaled(column: str) -> str:
         return f"""round(({column} - (SELECT avg({column}) FROM features))
-          / (SELECT stddev_pop({column}) FROM features), 6) AS {column}"""
+          / (SELECT coalesce(nullif(stddev_pop({column}), 0), 1) FROM features), 6)
+          AS {column}"""
 
-    scaled_columns = ("events_per_minute", "session_duration_seconds", "event_type_diversity")
     q["standard_scale"] = _feat(
-        f"SELECT session_id, {', '.join(scaled(c) for c in scaled_columns)} FROM features"
+        f"SELECT session_id, {', '.join(scaled(c) for c in FEATURE_COLUMNS)} FROM features"
     )
     errors = (_GAPS, _FEATURES, _LIVE, _ERRORS)
     q["error_threshold"] = _with(

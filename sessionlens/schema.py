@@ -37,7 +37,7 @@ _S, _D, _I, _L, _TS = (
     T.TimestampType(),
 )
 
-# What the live job reads from each message; other JSON keys are dropped.
+# What the live job reads from each message; other JSON keys are dropped.
 ENVELOPE = T.StructType(
     [
         T.StructField("event_id", _S),
@@ -55,7 +55,7 @@ ENVELOPE = T.StructType(
     ]
 )
 
-# Every field any event type may carry. ``properties`` stays an open map here.
+# Every field any event type may carry. ``properties`` stays an open map here.
 FULL_EVENT = T.StructType(
     [f for f in ENVELOPE.fields if f.name != "properties"]
     + [
@@ -78,9 +78,10 @@ FULL_EVENT = T.StructType(
 
 CORRUPT = "_corrupt_record"
 
+# Envelope fields that must be present.
 REQUIRED_ENVELOPE = ("event_type", "session_id", "user_id")
 
-# Fields of each event type: those that must be present, those that may be absent.
+# Fields of each event type, those that must be present, those that may be absent.
 REQUIRED_FIELDS = {
     "pageview": (),
     "search": ("query",),
@@ -118,6 +119,7 @@ class FeatureView:
         return list(self.fields)
 
 
+# Name, columns, types and expiry of the feature contract.
 SESSION_FEATURES = FeatureView(
     name="session_features",
     key="session_id",
