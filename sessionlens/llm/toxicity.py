@@ -1,11 +1,12 @@
-"""Toxicity by class-conditional Kneser-Ney models of byte sequences.
+"""Toxicity by class-conditional Kneser-Ney models of character sequences.
 
-Two models of order ORDER over the lower-cased UTF-8 bytes, one of toxic and one of
-ordinary texts, share one backoff distribution: the continuation counts of both classes
+Two models of order ORDER over the lower-cased characters, each folded to one byte (ASCII
+to itself, others to 128 and the code point modulo 128), one of toxic and one of ordinary
+texts, share one backoff distribution: the continuation counts of both classes
 together. An expression that neither class has seen then says nothing, and a rare one
 speaks with the discounted part of its counts only. The log-likelihood difference of a
-text per byte, its spread, that of the most toxic window and that of the second most toxic
-block go into a logistic calibration.
+text per character and its spread, the means over its most toxic words, and the number and
+share of words above fixed levels go into a logistic calibration.
 
 Counts are gathered from all labelled rows but those held out and those kept for the
 calibration; they are grouped, joined and smoothed as Spark tables. What scoring needs, a
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import free_name, hash_share, label_fold, lean_batches, stored
 
-ORDER = 5
-#: Bytes of the shared backoff distributions, below them a uniform one.
-BACKOFF = (4, 2, 1)
-#: Bytes of a window and of a block; CHUNK is a multiple of BLOCK.
-WINDOW, BLOCK = 16, 32
+ORDER = 4
+#: Characters of the shared backoff distributions, below them a uniform one.
+BACKOFF = (3, 2, 1)
+#: Numbers of most toxic words whose means are features.
+TOPS = (1, 3, 8)
+#: Differences of a word that are counted as features, and those whose share is one.
+LEVELS, SHARES = (2.0, 3.0, 4.0), (2.0, 3.0)
 #: Entries of the tables of sequences and of contexts, as powers of two (24 MB together).
 SEQUENCE_BITS, CONTEXT_BITS = 22, 21
 #: Labelled rows with this remainder are held out.
@@ -40,15 +43,15 @@ CALIBRATE, CALIBRATION_ROWS = 4, 10_000
 #: Labelled ids sent to every executor at most (16 bytes each), so that the texts stay
 #: where they are; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Byte sequences counted at a time in a task, and bytes scored at a time.
+#: Sequences counted at a time in a task, and characters scored at a time.
 BUFFER, CHUNK = 1 << 22, 1 << 20
 SEED = 23
-N_FEATURES = 5
+N_FEATURES = 3 + len(TOPS) + len(LEVELS) + len(SHARES)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sequences(text: bytes) -> np.ndarray:
-    """The ORDER bytes up to each byte of a text as one number, latest byte lowest."""
+    """The ORDER bytes up to each byte of a prepared text as one number, latest byte lowest."""
     padded = np.frombuffer(b"\0" * (ORDER - 1) + text, np.uint8).astype(np.uint64)
     n = len(text)
     out = np.zeros(n, np.uint64)
@@ -68,13 +71,19 @@ _WORDS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def prepared(text: str | None) -> bytes:
-    """Lower-case words with single blanks around them."""
+    """Lower-case words with single blanks around them, one byte for each character."""
     words = (text or "").lower().encode().translate(_WORDS).split()
-    return b" ".join([b"", *words, b""]) if words else b""
+    if not words:
+        return b""
+    found = b" ".join([b"", *words, b""])
+    if found.isascii():
+        return found
+    points = np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)
+    return np.where(points < 128, points, 128 + points % 128).astype(np.uint8).tobytes()
 
 
 def count_sequences(rows: DataFrame) -> DataFrame:
-    """(key, toxic, ordinary): counts of every byte sequence of (text, label) rows."""
+    """(key, toxic, ordinary): counts of every character sequence of (text, label) rows."""
 
     def count(batches):
         waiting: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -123,10 +132,10 @@ def _discount(counts: DataFrame, column: str) -> float:
 
 
 def shared_backoff(counts: DataFrame) -> DataFrame:
-    """(key, p) of each seen sequence of BACKOFF[0] bytes, from both classes together.
+    """(key, p) of each seen sequence of BACKOFF[0] characters, from both classes together.
 
     A sequence counts once for each distinct longer sequence that it ends; each level is
-    interpolated with the next, the last with a uniform distribution over bytes.
+    interpolated with the next, the last with a uniform distribution.
     """
     levels, above = [], counts.select("key")
     for size in BACKOFF:
@@ -158,7 +167,7 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     sequence: np.ndarray  # log-likelihood difference, nan where not seen
-    context: np.ndarray  # the same for an unseen byte after a seen context
+    context: np.ndarray  # the same for an unseen character after a seen context
     weights: np.ndarray
 
     def differences(self, text: bytes) -> np.ndarray:
@@ -169,30 +178,46 @@ class Model:
         return found
 
     def features(self, text: bytes) -> tuple[float, ...]:
-        """Mean and spread per byte, best window, second best block, log of the length."""
+        """Mean and spread per character, best words, words above levels, log of the length.
+
+        A word has the sum of its differences, the blank before it included.
+        """
         n = len(text)
         if not n:
             return (0.0,) * N_FEATURES
-        total, squares, best, tail = 0.0, 0.0, -np.inf, np.zeros(0)
-        blocks = np.zeros(0)
+        total, squares, open_word = 0.0, 0.0, 0.0
+        best, words = np.zeros(0), 0
+        above = {level: 0 for level in (*LEVELS, *SHARES)}
         for at in range(0, n, CHUNK):
             # The bytes before a chunk give its first sequences their contexts.
             before = min(at, ORDER - 1)
-            part = self.differences(text[at - before : at + CHUNK])[before:].astype(np.float64)
+            chunk = text[at - before : at + CHUNK]
+            part = self.differences(chunk)[before:].astype(np.float64)
             total += part.sum()
             squares += part @ part
-            joined = np.concatenate([tail, part])
-            sums = np.concatenate([[0.0], joined.cumsum()])
-            width = min(WINDOW, n)
-            if len(joined) >= width:
-                best = max(best, (sums[width:] - sums[:-width]).max() / width)
-            tail = joined[-(WINDOW - 1) :]
-            found = np.add.reduceat(part, np.arange(0, len(part), BLOCK)) / BLOCK
-            blocks = np.sort(np.concatenate([blocks, found]))[-2:]
+            blanks = np.flatnonzero(np.frombuffer(chunk, np.uint8)[before:] == 32)
+            if not len(blanks):
+                open_word += part.sum()
+                continue
+            sums = np.add.reduceat(part, blanks)
+            closed = np.concatenate([[open_word + part[: blanks[0]].sum()], sums[:-1]])
+            if not at:
+                closed = closed[1:]  # a text begins with a blank: no word before it
+            open_word = sums[-1]
+            words += len(closed)
+            for level in above:
+                above[level] += int((closed > level).sum())
+            best = np.sort(np.concatenate([best, closed]))[-max(TOPS) :]
         mean = total / n
         spread = max(0.0, squares / n - mean * mean) ** 0.5
-        second = float(blocks[0]) if len(blocks) > 1 else 0.0
-        return mean, spread, best, second, float(np.log1p(n))
+        return (
+            mean,
+            spread,
+            *(float(best[-k:].sum() / k) for k in TOPS),
+            *(float(np.log1p(above[level])) for level in LEVELS),
+            *(above[level] / max(1, words) for level in SHARES),
+            float(np.log1p(n)),
+        )
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -201,22 +226,31 @@ class Model:
 
 
 def _expanded(x: np.ndarray) -> np.ndarray:
-    scale = np.array([10.0, 1.0, 1.0, 1.0, 0.1])
+    scale = np.array([10.0, 1.0] + [1.0] * len(TOPS + LEVELS) + [10.0] * len(SHARES) + [0.1])
     return np.concatenate([np.ones((len(x), 1)), x * scale], 1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Newton steps with a small ridge; none without both labels."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Newton steps with a small ridge, halved while they do harm; none without both labels."""
     if not len(y) or y.min() == y.max():
         return np.zeros(0)
     z = _expanded(x)
+
+    def loss(w: np.ndarray) -> float:
+        margin = z @ w
+        return float((np.logaddexp(0, margin) - y * margin).sum() + ridge / 2 * (w @ w))
+
     w = np.zeros(z.shape[1])
+    now = loss(w)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(
             (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w
         )
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
+        now = loss(w)
         if np.abs(step).max() < 1e-8:
             break
     return w

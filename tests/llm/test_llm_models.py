@@ -108,10 +108,28 @@ def test_chunks_of_long_texts_change_no_feature(monkeypatch):
         np.zeros(1 << toxicity.CONTEXT_BITS, np.float32),
         np.zeros(0),
     )
-    text = toxicity.prepared("some words that go on " * 40)
-    whole = model.features(text)
+    texts = [toxicity.prepared(t) for t in ("some words that go on " * 40, "x" * 500 + " y", "é", "two words")]
+    whole = [model.features(t) for t in texts]
     monkeypatch.setattr(toxicity, "CHUNK", 64)
-    assert np.allclose(whole, model.features(text))
+    assert np.allclose(whole, [model.features(t) for t in texts])
+    words = [float(model.differences(texts[3])[a:b].sum()) for a, b in ((0, 4), (4, 10))]
+    assert np.allclose(whole[3][2:5], [max(words), sum(words) / 3, sum(words) / 8])
+
+
+def test_characters_fold_to_one_byte_each():
+    assert toxicity.prepared("  Ab-C \n d9 ") == b" ab c d9 "
+    assert toxicity.prepared("Été 猫") == bytes([32, 128 + 0xE9 % 128, ord("t"), 128 + 0xE9 % 128, 32, 128 + ord("猫") % 128, 32])
+    assert toxicity.prepared(None) == toxicity.prepared(" .\t") == b""
+
+
+def test_calibration_ends_on_separable_rows():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, toxicity.N_FEATURES))
+    y = (x[:, 2] > 0).astype(float)
+    w = toxicity.fit_logistic(x * 50, y)
+    assert np.isfinite(w).all()
+    model = toxicity.Model(np.zeros(0), np.zeros(0), w)
+    assert ((model.score(x * 50) > 0.5) == y).mean() > 0.95
 
 
 def test_lstm_slopes_match_differences(monkeypatch):
