@@ -37,8 +37,8 @@ SEQUENCE_BITS, CONTEXT_BITS = 22, 21
 #: Labelled rows with this remainder are held out.
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Of the other labelled rows one in CALIBRATE is for the calibration, and of those about
-#: this many at most.
+#: Of the other labelled rows one in CALIBRATE is for the calibration, and this many at
+#: most; all others are counted.
 CALIBRATE, CALIBRATION_ROWS = 4, 10_000
 #: Labelled ids sent to every executor at most (16 bytes each), so that the texts stay
 #: where they are; more are joined by a shuffle.
@@ -317,6 +317,18 @@ def fit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _folded(by_sequence, SEQUENCE_BITS), np.nan_to_num(_folded(by_context, CONTEXT_BITS))
 
 
+def calibration_ids(usable: DataFrame) -> DataFrame:
+    """Rows of ``usable`` for the calibration: one in CALIBRATE, CALIBRATION_ROWS at most."""
+    # By hash first, so that the one sorted list stays short whatever the number of labels;
+    # a fifth more than needed, and never rounded to none.
+    share = min(1 / CALIBRATE, max(1.2 * CALIBRATION_ROWS / max(1, usable.count()), 1 / (1 << 20)))
+    return (
+        usable.where(hash_share("labelled_id", SEED, share))
+        .orderBy(F.xxhash64("labelled_id", F.lit(SEED + 1)), "labelled_id")
+        .limit(CALIBRATION_ROWS)
+    )
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """The model from all labelled rows that are not held out."""
     lean_batches(docs.sparkSession)
@@ -326,18 +338,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         .groupBy(F.col(doc_id).alias("labelled_id"))
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    for_counts = ~hash_share("labelled_id", SEED, 1 / CALIBRATE)
+    chosen = F.broadcast(calibration_ids(usable))
     labelled = docs.select(F.col(doc_id).alias("labelled_id"), F.col(text).alias("text"))
-    counted = usable.where(for_counts)
+    counted = usable.join(chosen.select("labelled_id"), "labelled_id", "left_anti")
     if counted.count() <= BROADCAST_LABELS:
         counted = F.broadcast(counted)
     counts = stored(count_sequences(labelled.join(counted, "labelled_id")), "counts")
     model = Model(*fit_tables(counts), np.zeros(0))
 
-    left = usable.where(~for_counts)
-    n = left.count()
-    # About CALIBRATION_ROWS ids: a bounded side.
-    chosen = F.broadcast(left.where(hash_share("labelled_id", SEED + 1, CALIBRATION_ROWS / max(1, n))))
     # Arrays alone are sent: executors need not have this module.
     spread = docs.sparkSession.sparkContext.broadcast((model.sequence, model.context))
 

@@ -132,6 +132,17 @@ def test_calibration_ends_on_separable_rows():
     assert ((model.score(x * 50) > 0.5) == y).mean() > 0.95
 
 
+def test_labels_not_in_the_calibration_are_counted(spark, monkeypatch):
+    docs, labels = corpus(spark, random.Random(13), ["zwockel", "vipkahm"])
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 40)
+    counted = []
+    count = toxicity.count_sequences
+    monkeypatch.setattr(toxicity, "count_sequences", lambda rows: counted.append(rows.count()) or count(rows))
+    model = toxicity.fit_toxicity(docs, labels)
+    usable = sum(held(r.doc_id, toxicity.FOLDS) != toxicity.HELD_OUT for r in labels.collect())
+    assert counted == [usable - 40] and len(model.weights)
+
+
 def test_lstm_slopes_match_differences(monkeypatch):
     monkeypatch.setattr(html, "INPUTS", 5)
     monkeypatch.setattr(html, "HIDDEN", 3)
