@@ -5,11 +5,15 @@ place of a document and of a benchmark item is hashed under the masks, equal has
 and around each hit the two token sequences are compared along the same diagonal. A
 document overlaps an item where a window of WINDOW tokens differs in at most SUBSTITUTIONS
 of them. Any such window contains a hit: of 13 tokens with two replaced, the first mask
-finds five matching ones wherever the replacements are.
+finds five matching ones wherever the replacements are. Where the masks cannot promise that
+for a short item, its tokens are dealt over one more mask than it may have replacements, so
+that one of these holds none of them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +40,68 @@ def _span(masks: tuple) -> int:
     return max(m[-1] for m in masks) + 1
 
 
-def _places(rows: DataFrame, tokens: str, masks: tuple) -> DataFrame:
+def permitted(size: int, window: int, substitutions: int) -> int:
+    """Replaced tokens that an item of ``size`` tokens may have."""
+    return min(size, window) * substitutions // window
+
+
+def _covered(size: int, wrong: int, masks: tuple) -> bool:
+    """Whether some mask hits an item wherever ``wrong`` of its tokens are replaced."""
+    seeds = [{at + p for p in m} for at in range(size - _span(masks) + 1) for m in masks]
+    return all(any(seed.isdisjoint(w) for seed in seeds) for w in combinations(range(size), wrong))
+
+
+def short_masks(window: int, substitutions: int, masks: tuple) -> dict[int, list[tuple]]:
+    """Masks of their own, by size, for items below the window that ``masks`` may miss."""
+    out = {}
+    for size in range(1, window):
+        wrong = permitted(size, window, substitutions)
+        if not _covered(size, wrong, masks):
+            out[size] = [tuple(range(part, size, wrong + 1)) for part in range(wrong + 1)]
+    return out
+
+
+def _shape(mask: tuple) -> tuple:
+    """The mask moved to begin at 0, so that it fits where a text ends inside the item."""
+    return tuple(p - mask[0] for p in mask)
+
+
+def _seed(tokens: str, at: F.Column, mask: tuple, number: int) -> F.Column:
+    return F.xxhash64(F.lit(number), *(F.get(tokens, at + p) for p in mask))
+
+
+def _short_places(items: DataFrame, tokens: str, short: dict[int, list[tuple]], numbers: dict[tuple, int]) -> DataFrame:
+    """``items`` of the sizes in ``short``, with ``at`` and ``seed`` for each mask of theirs."""
+    found = F.lit(None)
+    for size, own in short.items():
+        pairs = [
+            F.struct(F.lit(m[0]).alias("at"), _seed(tokens, F.lit(m[0]), _shape(m), numbers[_shape(m)]).alias("seed"))
+            for m in own
+        ]
+        found = F.when(F.size(tokens) == size, F.array(*pairs)).otherwise(found)
+    return items.withColumn("place", F.explode(found)).select(*items.columns, "place.at", "place.seed")
+
+
+def _places(
+    rows: DataFrame, tokens: str, masks: tuple, numbers: dict[tuple, int] | None = None
+) -> DataFrame:
     """``rows`` for every place ``at`` and mask, with its ``seed``.
 
     Tokens are read from the array by position, so nothing but the place and the seed is
-    made for a row until the join finds a hit.
+    made for a row until the join finds a hit. ``numbers`` has further masks of other spans.
     """
-    last = F.size(tokens) - F.lit(_span(masks))
+    numbers = numbers or {}
+    span = _span(masks)
+    last = F.size(tokens) - F.lit(min([span, *(m[-1] + 1 for m in numbers)]))
     # An empty list of places, not a filter: a filter would cut the text twice.
     places = F.when(last >= 0, F.sequence(F.lit(0), last))
     rows = rows.withColumn("at", F.explode(places))
-    seeds = [
-        F.xxhash64(F.lit(i), *(F.get(tokens, F.col("at") + p) for p in m))
-        for i, m in enumerate(masks)
-    ]
+    seeds = [_seed(tokens, F.col("at"), m, i) for i, m in enumerate(masks)]
+    if numbers:
+        # Outside of a text a mask has no seed: a hash would leave the missing tokens out.
+        left = F.size(tokens) - F.col("at")
+        seeds = [F.when(left >= span, seed) for seed in seeds]
+        seeds += [F.when(left > m[-1], _seed(tokens, F.col("at"), m, i)) for m, i in numbers.items()]
     return rows.withColumn("seed", F.explode(F.array(*seeds)))
 
 
@@ -70,19 +122,27 @@ def find_overlaps(
     Columns: the document's id, ``doc_hash`` (of its text, to tell rows with equal or null
     ids apart), the item's id, ``n_places`` (alignments that overlap) and ``best_match``
     (equal tokens of the best window). An item shorter than the window is compared whole,
-    with proportionally fewer replacements; one shorter than the masks cannot be told from
-    chance and is not searched. Null and empty texts overlap nothing. Repeated document or
-    item rows count once.
+    with proportionally fewer replacements, and one of up to six tokens with none. Null and
+    empty texts overlap nothing. Repeated document or item rows count once.
     """
     span = _span(masks)
     # Tokens that can share a window with a seed, by their distance from its start.
-    around = range(span - window, window)
+    around = range(min(span - window, -substitutions), window)
     items = benchmark.select(
         F.col(item_id).alias("item"), tokens_of(F.col(item_text)).alias("item_tokens")
     ).distinct()
     size = F.size("item_tokens")
     reach = F.least(F.lit(window), size)
-    item_seeds = _places(items, "item_tokens", masks).select(
+    # Masks of the short sizes that occur: the others would cost seeds of every document.
+    short = short_masks(window, substitutions, masks)
+    sizes = items.where(size.isin([*short])).select(size).distinct().collect() if short else []
+    short = {n: short[n] for n in sorted(r[0] for r in sizes)}
+    shapes = sorted({_shape(m) for own in short.values() for m in own})
+    numbers = {m: len(masks) + i for i, m in enumerate(shapes)}
+    item_places = _places(items.where(~size.isin([*short])) if short else items, "item_tokens", masks)
+    if short:
+        item_places = item_places.unionByName(_short_places(items, "item_tokens", short, numbers))
+    item_seeds = item_places.select(
         "item",
         "seed",
         F.col("at").alias("item_at"),
@@ -112,7 +172,7 @@ def find_overlaps(
     ]
     # Diagonals first: their partial maxima leave a row for each document and item.
     places = (
-        _places(doc_tokens, "doc_tokens", masks)
+        _places(doc_tokens, "doc_tokens", masks, numbers)
         .join(item_seeds, "seed")
         .withColumn("diagonal", F.col("at") - F.col("item_at"))
         .withColumn("equal", equal)

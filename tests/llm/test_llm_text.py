@@ -185,6 +185,38 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def plain_overlap(item, doc):
+    """Best match and number of overlapping alignments, by comparing all of them."""
+    reach = min(13, len(item))
+    best = []
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [0 <= j + shift < len(doc) and doc[j + shift] == w for j, w in enumerate(item)]
+        best.append(max(sum(same[s : s + reach]) for s in range(len(item) - reach + 1)))
+    good = [b for b in best if b >= reach - reach * 2 // 13]
+    return (max(good), len(good)) if good else None
+
+
+def test_short_items_match_all_alignments(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    items = {n: [word() for _ in range(n)] for n in range(1, 16)} | {20: ["la", "la", "di", "la", "la", "di", "la"]}
+    docs = {}
+    for words in items.values():
+        n = len(words)
+        parts = [words, words[1:], words[:-1], words * 2]
+        for wrong in range(n):
+            parts.append([*words[:wrong], "x", *words[wrong + 1 :]])
+            parts.append([*words[:wrong], "x", *words[wrong + 1 : n - 1], "y"])
+        for part in parts:
+            docs[len(docs)] = part
+            docs[len(docs)] = [word(), word(), *part, word()]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], SCHEMA)
+    want = {(d, i): plain_overlap(item, doc) for d, doc in docs.items() for i, item in items.items()}
+    got = {(r.doc_id, r.item_id): (r.best_match, r.n_places) for r in decontaminate.find_overlaps(rows, bench).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 @pytest.mark.parametrize("weights", [[1], [3, 1], [500, 300, 199, 1], [7, 7, 7], [1, 2, 3, 4, 5, 6]])
 def test_pfair_stays_within_one_block(weights):
     order, total = mixing.edf_period(weights), sum(weights)
