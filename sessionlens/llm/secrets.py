@@ -2,7 +2,7 @@
 
 Three fixed patterns give the base spans. The battery looks at every other token of 20
 or more characters, infers its encoding (the smallest alphabet that holds all of its
-characters) and asks how well it agrees with uniform random symbols of that alphabet:
+characters; a token that none holds is cut, see ``pieces``) and asks how well it agrees with uniform random symbols of that alphabet:
 
 * a chi-squared test of symbol counts, and one of the character classes,
 * a runs test of symbols above and below the middle of the alphabet,
@@ -43,6 +43,10 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN_LENGTH = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Parts of a token around its inner '=', padding kept, and pieces of such a part.
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+URL_PIECE = re.compile(r"[A-Za-z0-9_-]+=*")
+BASE64_PIECE = re.compile(r"[A-Za-z0-9+/]+=*")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Alphabets by size; a token belongs to the first that holds all of its symbols.
 ENCODINGS = (
@@ -168,21 +172,44 @@ def randomness(token: str, encoding: int) -> float:
     return _upper_tail(sum(map(_quantile, ps)) / math.sqrt(len(ps)))
 
 
+def pieces(start: int, token: str) -> list[tuple[int, str]]:
+    """(start, piece) of the parts of a token to test, each held by some alphabet.
+
+    A token that no alphabet holds is cut at its inner '=', as in KEY=VALUE. A part that
+    still mixes '+' or '/' with '-' or '_' is cut at the first two, which keeps base64_url
+    tokens whole, and at the last two, which keeps base64 tokens whole; of the second cut
+    only pieces with '+' or '/' are new.
+    """
+    if infer_encoding(token) is not None:
+        return [(start, token)]
+    out = []
+    for part in PART.finditer(token):
+        at, body = start + part.start(), part.group()
+        if infer_encoding(body) is not None:
+            out.append((at, body))
+            continue
+        out += [(at + m.start(), m.group()) for m in URL_PIECE.finditer(body)]
+        out += [
+            (at + m.start(), m.group())
+            for m in BASE64_PIECE.finditer(body)
+            if "/" in m.group() or "+" in m.group()
+        ]
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, encoding, band, bin) of every long token that some alphabet holds."""
+    """(start, end, encoding, band, bin) of every long token, or piece of one, that some alphabet holds."""
     if not any(len(w) >= TOKEN_LENGTH for w in text.split()):
         return []
     found = []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if len(token.rstrip("=")) < TOKEN_LENGTH:
-            continue
-        encoding = infer_encoding(token)
-        if encoding is None:
-            continue
-        band = sum(len(token) >= edge for edge in BANDS)
-        step = min(BINS - 1, int(randomness(token, encoding) * BINS))
-        found.append((m.start(), m.end(), encoding, band, step))
+        for start, token in pieces(m.start(), m.group()):
+            if len(token.rstrip("=")) < TOKEN_LENGTH:
+                continue
+            encoding = infer_encoding(token)
+            band = sum(len(token) >= edge for edge in BANDS)
+            step = min(BINS - 1, int(randomness(token, encoding) * BINS))
+            found.append((start, start + len(token), encoding, band, step))
     return found
 
 
