@@ -6,15 +6,19 @@ each slot the released block with the earliest deadline goes next. After any num
 slots every source has had its weight times t blocks, to within less than one block.
 
 The schedule repeats after D slots, so one period of D entries is simulated on the driver
-(its size is a parameter, not the corpus) and every block finds its slot by arithmetic. A
-source that has run out leaves its slots empty; nothing is dropped or repeated.
+and every block finds its slot by arithmetic. Rounding the targets to D slots adds up over
+the table: where that comes to a block, all blocks are scheduled from the unrounded targets
+instead, on the driver, with 24 bytes for each block. A source that has run out leaves its
+slots empty; nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -30,6 +34,10 @@ BLOCK_DOCS = 8
 CELL_DOCS = 256
 #: Sources beyond this need coarser names: their weights are held on the driver.
 MAX_SOURCES = 100_000
+#: Places sent to every executor at most, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_PLACES = 1_000_000
+#: Unrounded weights are whole numbers of this size together, so that their order is exact.
+FINE = 1 << 48
 #: Default target weights are the sources' sizes to this power.
 POWER = 0.5
 SEED = 17
@@ -63,6 +71,49 @@ def edf_period(weights: list[int]) -> list[int]:
     return order
 
 
+def drift(shares: dict[str, float], slots: dict[str, int], blocks: dict[str, int]) -> float:
+    """Most blocks by which the weights in ``slots`` depart from the targets until a source ends."""
+    total, period = sum(shares.values()), sum(slots.values())
+    ratios = {k: slots[k] / period / (shares[k] / total) for k in slots}
+    return max((blocks[k] * (1 - min(r, 1 / r)) for k, r in ratios.items()), default=0.0)
+
+
+def edf_blocks(shares: list[float], blocks: list[int]) -> tuple[array, array, array]:
+    """(source, turn, slot) of every block, earliest deadline first from unrounded targets.
+
+    Sources with a target of 0 come after all others, one after another.
+    """
+    total = sum(shares)
+    parts = [max(1, round(FINE * (s / total))) if s else 0 for s in shares]
+    whole = sum(parts)
+    waiting = [(0, i) for i, c in enumerate(parts) if c and blocks[i]]
+    ready: list[tuple[int, int]] = []
+    done = [0] * len(parts)
+    sources, turns, slots = array("q"), array("q"), array("q")
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * whole // parts[i]), i))
+        _, i = heapq.heappop(ready)
+        sources.append(i)
+        turns.append(done[i])
+        slots.append(slot)
+        done[i] += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(waiting, (done[i] * whole // parts[i], i))
+        slot += 1
+    for i, c in enumerate(parts):
+        if not c:
+            sources.extend([i] * blocks[i])
+            turns.extend(range(blocks[i]))
+            slots.extend(range(slot, slot + blocks[i]))
+            slot += blocks[i]
+    return sources, turns, slots
+
+
 def _source_key(source: str) -> F.Column:
     """A non-null name for every source; a null source is a source of its own."""
     return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
@@ -83,7 +134,7 @@ def mix_slots(
     ``mix_block`` numbers a source's blocks from 0, ``mix_slot`` is the place of the block
     in the mixture and ``mix_seq`` that of the document in its block. Inside a source,
     documents are shuffled by a hash of their id. ``weights`` are target weights by source
-    (missing sources get the least, one slot); by default they are the square roots of the
+    (missing sources, and those with a target of 0, come after all others); by default they are the square roots of the
     sources' document counts. Null sources form one source; repeated rows and null ids are
     rows like others. An empty table gives an empty table. Input columns with the names of
     the new ones are kept, and the new ones get an underscore before them.
@@ -110,18 +161,33 @@ def mix_slots(
         shares = {k: max(0.0, given.get(k, 0.0)) for k in counts}
         if counts and not sum(shares.values()):
             raise ValueError("no source of the table has a target weight")
+    names = sorted(shares)
+    blocks = {k: -(-counts[k] // block_docs) for k in names}
     slots = integer_weights(shares, resolution) if shares else {}
-    names = list(slots)
-    period = edf_period([slots[k] for k in names])
-    seen = dict.fromkeys(names, 0)
-    places = []
-    for slot, i in enumerate(period):
-        places.append((names[i], seen[names[i]], slot, slots[names[i]]))
-        seen[names[i]] += 1
-    # One row per slot: its size is the resolution plus a slot for each source.
-    table = F.broadcast(
-        spark.createDataFrame(places, f"{key} string, {turn} long, {out_slot} long, {share} long")
+    if all(shares.values()) and drift(shares, slots, blocks) < 1:
+        period = edf_period([slots[k] for k in names])
+        seen = [0] * len(names)
+        turns = []
+        for i in period:
+            turns.append(seen[i])
+            seen[i] += 1
+        sources, places, repeat = period, range(len(period)), len(period)
+    else:
+        # One turn of the schedule holds all blocks of every source.
+        slots, repeat = blocks, 0
+        sources, turns, places = edf_blocks(
+            [shares[k] for k in names], [blocks[k] for k in names]
+        )
+    listed = pa.table(
+        {
+            key: pa.array(names, pa.string()).take(pa.array(sources, pa.int64())),
+            turn: pa.array(turns, pa.int64()),
+            out_slot: pa.array(places, pa.int64()),
+        }
     )
+    table = spark.createDataFrame(listed, f"{key} string, {turn} long, {out_slot} long")
+    if listed.num_rows <= BROADCAST_PLACES:
+        table = F.broadcast(table)
     shares_table = F.broadcast(
         spark.createDataFrame([(k, slots[k]) for k in names], f"{key} string, {share} long")
     )
@@ -151,9 +217,9 @@ def mix_slots(
         .withColumn(out_seq, F.col(rank) % block_docs)
         .join(shares_table, key)
         .withColumn(turn, F.col(out_block) % F.col(share))
-        .withColumn(first, F.floor(F.col(out_block) / F.col(share)) * len(period))
+        .withColumn(first, F.floor(F.col(out_block) / F.col(share)) * repeat)
         .drop(share)
-        .join(table.drop(share), [key, turn])
+        .join(table, [key, turn])
         .withColumn(out_slot, F.col(out_slot) + F.col(first))
     )
     return numbered.select(*(F.col(f"`{c}`") for c in docs.columns), out_block, out_slot, out_seq)

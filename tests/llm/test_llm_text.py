@@ -255,6 +255,39 @@ def test_pfair_stays_within_one_block(weights):
     assert given == weights
 
 
+def within_one_block(shares, blocks, sources, slots):
+    """Blocks of each source against its unrounded target, just before and after each of them."""
+    total, given = sum(shares), [0] * len(shares)
+    assert len(set(slots)) == len(slots) and list(slots) == sorted(slots)
+    for i, t in zip(sources, slots):
+        assert abs(given[i] - shares[i] / total * t) < 1 + 1e-6
+        given[i] += 1
+        assert abs(given[i] - shares[i] / total * (t + 1)) < 1 + 1e-6
+    assert given == blocks
+
+
+@pytest.mark.parametrize("sizes", [[2 + i**2 for i in range(100)], [100_000] + [20] * 2000, [5, 5, 5]])
+def test_unrounded_targets_stay_within_one_block(sizes):
+    shares, blocks = [n**0.5 for n in sizes], [-(-n // 8) for n in sizes]
+    sources, turns, slots = mixing.edf_blocks(shares, blocks)
+    within_one_block(shares, blocks, sources, slots)
+    assert len(set(zip(sources, turns))) == sum(blocks)
+
+
+def test_mixing_meets_targets_that_the_resolution_rounds(spark):
+    rows = [(i, "a" if i % 10 else "b" if i % 20 else "c" if i % 40 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 0.9471, "b": 0.0523, "c": 0.0006}
+    out = mixing.mix_slots(docs, weights=weights).collect()
+    assert len(out) == len(rows) and len({(r.mix_slot, r.mix_seq) for r in out}) == len(rows)
+    firsts = sorted((r.mix_slot, r.source) for r in out if r.mix_seq == 0)
+    names = ["a", "b", "c"]
+    mine = [(names.index(s), t) for t, s in firsts if s]
+    blocks = [450, 25, 13]
+    within_one_block([weights[n] for n in names], blocks, *zip(*mine))
+    assert min(t for t, s in firsts if s is None) > max(t for t, s in firsts if s)
+
+
 def test_mixing_keeps_every_row_once(spark):
     rows = [(i % 900, None if i % 7 == 0 else "hot" if i % 3 else f"s{i % 5}", "t", 1) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot int")
