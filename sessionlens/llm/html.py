@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from sessionlens.llm.common import hash_share, lean_batches
 
 # Element names of HTML.
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "textarea")
+RAW = ("script", "style", "template", "iframe", "svg", "textarea")
+#: Of these only the tag goes where the page never closes the element.
+CLOSED = frozenset(("template", "svg"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt "
@@ -113,6 +115,7 @@ def blocks_of(page: str) -> list[Block]:
                 return
 
     at, end = 0, len(page)
+    unclosed: set[str] = set()
     while at < end:
         m = MARKUP.search(page, at)
         if m is None:
@@ -127,9 +130,14 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         closing = m["close"] or m["close2"]
         if name in RAW and not closing:
-            if not (m["rest"] or "").endswith("/"):
+            if not (m["rest"] or "").endswith("/") and name not in unclosed:
                 ended = RAW_END[name].search(page, at)
-                at = ended.end() if ended else end
+                if ended:
+                    at = ended.end()
+                elif name in CLOSED:
+                    unclosed.add(name)  # the page is not searched again for each such tag
+                else:
+                    at = end
             parts.append((" ", links > 0))
         elif name == "a":
             links = max(0, links - 1) if closing else links + 1

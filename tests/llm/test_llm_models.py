@@ -182,6 +182,16 @@ def test_blocks_survive_broken_markup():
     assert html.blocks_of("") == [] and html.blocks_of("<p>x<a href='never closed")[0].text == "x"
 
 
+def test_formulas_fallbacks_and_unclosed_graphics_stay():
+    text = lambda page: [b.text for b in html.blocks_of(page)]
+    assert text("<p>so <math><mi>x</mi>=<mn>2</mn></math> holds<noscript>, still</noscript><object> or else</object></p>") == [
+        "so x=2 holds, still or else"
+    ]
+    assert text("<p>a<svg><text>no</text></svg>b<svg>c<p>d<template>e") == ["a b c", "d e"]
+    assert text("<p>a<math>b<p>c<object>d") == ["ab", "cd"]
+    assert text("<p>a<template><p>no</template>b<script>c<p>d") == ["a b"]
+
+
 def test_page_text_equals_the_article(spark):
     pages = table(spark, SF, "pages").select("page_id", "url", "html")
     extra = spark.createDataFrame([(None, None, None), (-1, "u", ""), (-1, "u", "")], pages.schema)
