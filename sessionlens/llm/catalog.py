@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sessionlens.llm import ann, decontaminate, html, mixing, quality, secrets, simhash, tokens, toxicity, urls
+from sessionlens.llm import (
+    alignment,
+    ann,
+    bpe,
+    decontaminate,
+    html,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+    turn_trie,
+    urls,
+)
 from sessionlens.llm.common import table
 
 
@@ -57,6 +71,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -70,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_url_filter,
         op10_token_counts,
+        op11_alignment,
+        op12_byte_pairs,
+        op13_turn_trie,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
