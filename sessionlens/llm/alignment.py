@@ -20,11 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +34,8 @@ from sessionlens.llm.vocabulary import (
     BYTE_MODEL,
     PATTERN,
     PIECE_MODEL,
+    WordIds,
     byte_level_tokens,
-    chunks_of_words,
     read_bytes,
 )
 
@@ -49,8 +47,8 @@ BLOCK_ENTRIES = 3_000_000
 SLICE = 2_000_000
 #: Groups with more links than this are expanded from distinct ids and their numbers.
 WIDE_GROUP = 64
-#: Pre-tokens remembered by a task; beyond that the memory starts anew.
-REMEMBERED = 400_000
+# Fixed value: the character that stands for a space in sentence pieces.
+SPACE = "\u2581"
 #: Sixteen documents a word of a bitmap.
 WORD_BITS = 16
 
@@ -61,7 +59,7 @@ _STAGED = (
 
 
 class ByteTokenizer:
-    """Byte-level BPE of whole texts from a model file, without special tokens."""
+    """Byte-level BPE from a model file, without special tokens."""
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,42 +68,48 @@ class ByteTokenizer:
         self.model = Tokenizer.from_str(model.decode())
         self.model.encode_special_tokens = True
         self.bytes = byte_level_tokens(model)
-        self.cut = regex.compile(PATTERN)
-        self._words: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        """Pre-tokens are independent of each other, so each distinct one is encoded once."""
-        parts = []
-        for words in chunks_of_words(text, self.cut):
-            new = list(set(words) - self._words.keys())
-            if new:
-                if len(self._words) + len(new) > REMEMBERED:
-                    self._words.clear()
-                    new = list(set(words))
-                found = self.model.encode_batch_fast(new, add_special_tokens=False)
-                self._words.update(zip(new, (e.ids for e in found)))
-            known = self._words.__getitem__
-            parts.extend(chain.from_iterable(map(known, words)))
-        return np.array(parts, np.int64)
+        # Pre-tokens are independent of each other.
+        self.words = WordIds(self._encode, PATTERN)
+        self._lossy = False
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        ids = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        of = self.bytes.__getitem__
+        self._lossy |= any(b"".join(map(of, i)) != w.encode() for w, i in zip(words, ids))
+        return ids
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; none at all where they do not give it back byte for byte."""
+        flat, sizes = self.words.ids(texts)
+        found = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        if self._lossy:
+            found = [_checked(ids, text, self.bytes) for ids, text in zip(found, texts)]
+        return found
+
+
+def _checked(ids: np.ndarray, text: str, table: list[bytes]) -> np.ndarray | None:
+    joined = b"".join(map(table.__getitem__, ids.tolist()))
+    return ids if joined == text.encode() else None
 
 
 class PieceTokenizer:
-    """Sentence pieces of whole texts from a model file; it puts a space before the text."""
+    """Sentence pieces of whole texts from a model file, which puts a space before them."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [
-            bytes([int(piece[3:5], 16)])
-            if self.model.is_byte(i)
-            else piece.replace("▁", " ").encode()
-            for i in range(self.model.get_piece_size())
-            for piece in [self.model.id_to_piece(i)]
+            bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode()
+            for i, piece in enumerate(pieces)
         ]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of a text; none at all where they do not give it back byte for byte."""
+        ids = self.model.encode(text, num_threads=1)
+        joined = b"".join(map(self.bytes.__getitem__, ids))
+        return np.array(ids, np.int64) if joined == b" " + text.encode() else None
 
 
 class Aligner:
@@ -121,18 +125,14 @@ class Aligner:
         )
         self.text_sizes = (self.text != 0).sum(axis=1)
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both tokenizers; none where one of them does not give the text back."""
         none = np.empty(0, np.int64)
-        if not text:
-            return none, none
-        spaced = " " + text
-        wanted = spaced.encode()
-        a, b = self.a.ids(spaced), self.b.ids(text)
-        for ids, table in ((a, self.a.bytes), (b, self.b.bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != wanted:
-                return none, none
-        return a, b
+        found = []
+        for text, a in zip(texts, self.a.ids([" " + t if t else "" for t in texts])):
+            b = self.b.ids(text) if text and a is not None else None
+            found.append((none, none) if b is None else (a, b))
+        return found
 
     def align(self, texts: list[str | None], digest: bool) -> tuple[dict, np.ndarray, np.ndarray]:
         """Columns of the documents, and keys and link counts of their (pair, document) entries.
@@ -140,7 +140,7 @@ class Aligner:
         A key is the pair (a times the size of B, plus b) times ``BLOCK_DOCS``, plus the
         document's number in the batch.
         """
-        pairs = [self.tokens(t) for t in texts]
+        pairs = self.tokens(texts)
         n_a = np.array([len(a) for a, _ in pairs], np.int64)
         n_b = np.array([len(b) for _, b in pairs], np.int64)
         a = np.concatenate([np.empty(0, np.int64), *[a for a, _ in pairs]])
