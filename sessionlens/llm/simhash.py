@@ -275,13 +275,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(fingerprint, component_id) of every distinct fingerprint."""
-    reps = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    reps = stored(reps, "fingerprints")
-    found = components(ball_links(reps.where("id is not null"), max_bits))
-    return reps.join(found, reps["id"] == found["node"], "left").select(
-        "fingerprint", F.coalesce("root", "id").alias("component_id")
+    """(fingerprint, ``root``, component_id) of every distinct fingerprint.
+
+    The nodes are the fingerprints themselves, so that a repeated or missing id neither joins
+    nor parts them; a component's ids are looked up once its fingerprints are known.
+    """
+    reps = stored(
+        prints.groupBy("fingerprint").agg(F.min("id").alias("least_id")), "fingerprints"
+    )
+    nodes = reps.select("fingerprint", F.col("fingerprint").alias("id"))
+    found = components(ball_links(nodes, max_bits))
+    rooted = reps.join(found, reps["fingerprint"] == found["node"], "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least_id"
     )
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(named, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(
@@ -295,23 +303,30 @@ def near_duplicates(
 
     Columns: the id, ``fingerprint`` (16 lower-case hex digits) and ``component_id``, the
     smallest id reached over links of at most ``max_bits`` differing bits. Null and empty
-    texts have fingerprint zero. Rows with a null id get the component of their
-    fingerprint, but do not link others; it is null where nobody with an id has that
-    fingerprint. Repeated rows give repeated rows. Other columns are left out.
+    texts have fingerprint zero. Texts of rows with a null id link like any others; the
+    component is null where nobody in it has an id. Rows of one id with different texts are
+    in the component of their own text. Repeated rows give repeated rows. Other columns are
+    left out.
     """
+    prints = _prints(docs, doc_id, text, shingle_words)
+    return prints.join(_linked(prints, max_bits), "fingerprint").select(
+        F.col("id").alias(doc_id),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _prints(docs: DataFrame, doc_id: str, text: str, shingle_words: int) -> DataFrame:
+    """(id, ``text_hash``, fingerprint) of each row, computed once."""
     lean_batches(docs.sparkSession)
-    prints = stored(
+    return stored(
         docs.select(
             F.col(doc_id).cast("long").alias("id"),
+            F.xxhash64(text).alias("text_hash"),
             fingerprint_column(text, shingle_words).alias("fingerprint"),
         ),
         "prints",
     )
-    return prints.join(_linked(prints, max_bits), "fingerprint").select(
-        F.col("id").alias(doc_id),
-        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
 
 
 def keep_one_of_each(
@@ -321,14 +336,24 @@ def keep_one_of_each(
     shingle_words: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, once each.
+    """One row of ``docs`` for each component of near duplicates; all columns are kept.
 
-    All columns are kept. Rows without an id cannot be told apart from others and stay.
+    It is the row with the smallest id, of several texts with that id the one with the
+    smallest hash; rows without an id come last, but a component of such rows alone keeps one
+    as well. So every text has a survivor within its component, whatever the ids. Null and
+    empty texts are one component. Rows equal in id and text give one.
     """
-    groups = near_duplicates(docs, doc_id, text, shingle_words, max_bits)
-    mine = free_name(docs, "kept_id")
-    keepers = groups.where(F.col(doc_id) == F.col("component_id")).select(
-        F.col(doc_id).alias(mine)
-    ).distinct()
-    kept = docs.join(keepers, docs[doc_id].cast("long") == F.col(mine), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    prints = _prints(docs, doc_id, text, shingle_words)
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    keepers = (
+        prints.join(_linked(prints, max_bits), "fingerprint")
+        .groupBy("root")
+        .agg(F.min(order).alias("kept"))
+    )
+    mine, hashed = free_name(docs, "kept_id"), free_name(docs, "kept_hash")
+    keepers = keepers.select(
+        F.col("kept.id").alias(mine), F.col("kept.text_hash").alias(hashed)
+    )
+    same = docs[doc_id].cast("long").eqNullSafe(F.col(mine)) & (F.xxhash64(docs[text]) == F.col(hashed))
+    kept = docs.join(keepers, same, "left_semi")
+    return kept.withColumn(hashed, F.xxhash64(text)).dropDuplicates([doc_id, hashed]).drop(hashed)

@@ -183,6 +183,21 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_every_distinct_text_has_a_survivor_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choices("etaonhs", k=5)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, c), (None, d), (4, d), (None, None), (5, ""), (1, a)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    prints = {t: f"{plain_fingerprint(t):016x}" for t in (a, b, c, d, "")}
+    assert found == {
+        (1, prints[a]): 1, (3, prints[a]): 1, (1, prints[b]): 1, (2, prints[b]): 1, (None, prints[c]): None,
+        (None, prints[d]): 4, (4, prints[d]): 4, (None, prints[""]): 5, (5, prints[""]): 5,
+    }
+    kept = sorted(map(tuple, simhash.keep_one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (4, d), (5, "")], key=str)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
