@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions.expressions import ip_subnet, is_exit, is_success_payment, is_type
+from sessionlens.operators.ordered import SLOT_SECONDS
 from sessionlens.operators.sessions import event_gaps
 
 # Allowed seconds between events, per kind of agent.
@@ -127,7 +128,7 @@ def gap_bounds(
     events: DataFrame,
     human: tuple[float, float] = HUMAN_GAP,
     bot: tuple[float, float] = BOT_GAP,
-    chunk_seconds: float | None = None,
+    chunk_seconds: float = SLOT_SECONDS,
 ) -> DataFrame:
     """Gaps per agent type and how many fall outside that agent's pace."""
     gaps = event_gaps(events, chunk_seconds).where(F.col("gap_seconds").isNotNull())

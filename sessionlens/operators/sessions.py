@@ -12,7 +12,7 @@ from sessionlens.functions.expressions import (
     is_exit,
     time_bucket,
 )
-from sessionlens.operators.ordered import CHUNK, ordered_scan
+from sessionlens.operators.ordered import CHUNK, SLOT_SECONDS, ordered_scan, scan_slots
 
 # Idle limit in seconds and event cap of a session buffer.
 IDLE_SECONDS = 40
@@ -28,20 +28,16 @@ def gap_segments(
     decide every break. The result has one row per (key, slot): its size follows
     keys times active slots, never the events of a hot key.
     """
-    slots = (
-        events.groupBy(key, time_bucket(F.col(ts), gap_seconds).alias(CHUNK))
-        .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    )
-    by_key = W.partitionBy(key).orderBy(CHUNK)
-    idle = F.unix_micros("_first") - F.lag(F.unix_micros("_last")).over(by_key)
-    broken = slots.withColumn("_break", idle > F.lit(int(gap_seconds * MICROS)))
-    return broken.select(
-        key,
-        CHUNK,
-        F.sum(F.coalesce(F.col("_break"), F.lit(False)).cast("long"))
-        .over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow))
-        .alias("segment"),
+    slots = events.groupBy(key, time_bucket(F.col(ts), gap_seconds).alias(CHUNK)).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(ts).alias("_first"),
+        F.max(ts).alias(f"_last_{ts}"),
+        F.lit(0).alias("_opened"),
+        F.lit(None).cast("long").alias("_last_start"),
     )
+    idle = F.unix_micros(ts) - F.unix_micros(f"prev_{ts}") > F.lit(int(gap_seconds * MICROS))
+    scanned = scan_slots(slots, key, ts, [ts], idle)
+    return scanned.select(key, CHUNK, F.col("_runs_before").alias("segment"))
 
 
 def sessionize_gap(
@@ -63,7 +59,7 @@ def sessionize_gap(
 
 
 def session_order(
-    events: DataFrame, chunk_seconds: float | None = None
+    events: DataFrame, chunk_seconds: float = SLOT_SECONDS
 ) -> DataFrame:
     """Position of each event in its session by (timestamp, event_id)."""
     scanned = ordered_scan(events, "session_id", chunk_seconds=chunk_seconds)
@@ -73,7 +69,7 @@ def session_order(
 
 
 def event_gaps(
-    events: DataFrame, chunk_seconds: float | None = None
+    events: DataFrame, chunk_seconds: float = SLOT_SECONDS
 ) -> DataFrame:
     """Seconds since the previous event of the session; null for the first."""
     scanned = ordered_scan(events, "session_id", chunk_seconds=chunk_seconds)
@@ -129,7 +125,7 @@ def assign_closures(
     key: str = "session_id",
     idle_seconds: float = IDLE_SECONDS,
     max_events: int = MAX_EVENTS,
-    chunk_seconds: float | None = None,
+    chunk_seconds: float = SLOT_SECONDS,
 ) -> DataFrame:
     """Assign each event to the buffer that would hold it.
 
@@ -177,7 +173,7 @@ def close_sessions(
     key: str = "session_id",
     idle_seconds: float = IDLE_SECONDS,
     max_events: int = MAX_EVENTS,
-    chunk_seconds: float | None = None,
+    chunk_seconds: float = SLOT_SECONDS,
     as_of: Column | None = None,
 ) -> DataFrame:
     """Closed session buffers with their close reason.

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.expressions import exact_seconds, time_bucket
-from sessionlens.operators.ordered import fitting_width
+from sessionlens.operators.ordered import CHUNK, SLOT_SECONDS, last_before
 from sessionlens.schema import SESSION_FEATURES, FeatureView
 
 
@@ -83,14 +83,14 @@ def asof_feature_join(
     at: str = "asked_at",
     request_id: str = "request_id",
     ttl: timedelta | None = None,
-    slot_seconds: float | None = None,
+    slot_seconds: float = SLOT_SECONDS,
 ) -> DataFrame:
     """For each request the newest feature row not after its time; misses stay.
 
     A request without a key or a time is a miss; feature rows without them serve nobody.
     Requests and feature rows are put on one time line per key and scanned once
     per (key, slot); the newest row of earlier slots is carried by a summary with
-    one row per (key, slot). Nothing is paired, so a key with many requests and
+    one row per (key, slot), scanned in blocks of slots. Nothing is paired, so a key with many requests and
     many snapshots costs their sum, not their product.
     """
     ts = "event_timestamp"
@@ -113,26 +113,20 @@ def asof_feature_join(
             *extra,
         )
     )
-    slot_seconds = slot_seconds or fitting_width(timeline, key, "_at")
-    slotted = timeline.withColumn("_slot", time_bucket(F.col("_at"), slot_seconds))
+    slotted = timeline.withColumn(CHUNK, time_bucket(F.col("_at"), slot_seconds))
     # Feature rows come before requests of the same instant.
     tie = F.xxhash64("_value")
-    upto = W.partitionBy(key, "_slot").orderBy("_at", "_ask", tie)
+    upto = W.partitionBy(key, CHUNK).orderBy("_at", "_ask", tie)
     scanned = slotted.withColumn(
         "_local", F.last("_value", ignorenulls=True).over(
             upto.rowsBetween(W.unboundedPreceding, W.currentRow)
         )
     ).where(F.col("_ask") == 1)
 
-    slots = (
-        slotted.groupBy(key, "_slot")
-        .agg(F.max_by("_value", F.when(F.col("_ask") == 0, F.struct("_at", tie))).alias("_newest"))
-    )
-    before = W.partitionBy(key).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    carried = slots.select(
-        key, "_slot", F.last("_newest", ignorenulls=True).over(before).alias("_carried")
-    )
-    found = scanned.join(carried, [key, "_slot"]).withColumn(
+    newest = F.max_by("_value", F.when(F.col("_ask") == 0, F.struct("_at", tie)))
+    slots = slotted.groupBy(key, CHUNK).agg(newest.alias("_newest"))
+    carried = last_before(slots, key, "_newest", "_carried")
+    found = scanned.join(carried, [key, CHUNK]).withColumn(
         "_hit", F.coalesce("_local", "_carried")
     )
     if ttl is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,11 @@ from sessionlens.operators import (
     store,
     validate,
 )
-from sessionlens.operators.ordered import fitting_width
 from sessionlens.plans import pipeline
 from sessionlens.schema import ENVELOPE, FEATURE_COLUMNS
 from sessionlens.session import configure, fresh_dir
 from sessionlens.sources import driver_tables as tables
-from sessionlens.sources import offline
+from sessionlens.sources import offline, topic
 from sessionlens.streaming import closer, jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ MAX_EVENTS = 6
 LATE_SECONDS = 3600.0
 ARRIVAL_BATCH = 500
 TTL_HOURS = 48
+BACKLOG_FILES = 4
+TRIGGER_LIMITS = {
+    "none": {},
+    "one byte": {"bytes_per_trigger": 1},
+    "two files": {"files_per_trigger": 2},
+}
 SCORE = "events_per_minute"
 SHARE = 0.2
 
@@ -78,11 +84,6 @@ def query(build: Query) -> Query:
 _events = tables.session_events
 
 
-def _width(spark, sf_dir):
-    """Slot width for scans by session: what fits every user fits their sessions."""
-    return fitting_width(tables.user_events(spark, sf_dir), "user_id")
-
-
 # --- sources, sinks, connectors -------------------------------------------------
 
 
@@ -598,12 +599,12 @@ def feature_drift_timed(spark, sf_dir):
 
 @query
 def session_order(spark, sf_dir):
-    return sessions.session_order(_events(spark, sf_dir), _width(spark, sf_dir))
+    return sessions.session_order(_events(spark, sf_dir))
 
 
 @query
 def event_gaps(spark, sf_dir):
-    gaps = sessions.event_gaps(_events(spark, sf_dir), _width(spark, sf_dir))
+    gaps = sessions.event_gaps(_events(spark, sf_dir))
     return gaps.drop("agent_type")
 
 
@@ -670,7 +671,6 @@ def close_sessions(spark, sf_dir):
         _events(spark, sf_dir),
         idle_seconds=IDLE_SECONDS,
         max_events=MAX_EVENTS,
-        chunk_seconds=_width(spark, sf_dir),
         as_of=tables.user_events(spark, sf_dir).agg(F.max("timestamp")).scalar(),
     )
     return closed.drop("run", "part")
@@ -713,37 +713,79 @@ def stream_live_features(spark, sf_dir):
 
 @query
 def stream_close_sessions(spark, sf_dir):
-    closer.use_rocksdb(spark)
-    out = fresh_dir(spark, "closed")
+    """Closed in waves, then flushed as at the end of the input."""
+    closing = closer.SessionCloser(
+        fresh_dir(spark, "closed"), IDLE_SECONDS, MAX_EVENTS, delay_seconds=3600
+    )
+    pipeline.drain_in_waves(
+        tables.raw_topic(spark, sf_dir, faults=False),
+        lambda messages: closer.stream_close_sessions(jobs.events_from(messages)),
+        closing.write,
+        "append",
+    )
+    closing.flush(spark)
+    return closing.closed(spark)
 
-    def build(messages):
-        return closer.stream_close_sessions(
-            jobs.events_from(messages), IDLE_SECONDS, MAX_EVENTS, delay="1 hour"
-        )
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+@query
+def stream_batch_metrics(spark, sf_dir):
+    """Rows and state rows of each micro-batch, as recorded while the live job drained."""
+    table = fresh_dir(spark, "metrics")
+    pipeline.drain_in_waves(
+        tables.raw_topic(spark, sf_dir, faults=False),
+        jobs.stream_live_features,
+        sinks.online_sink(fresh_dir(spark, "online"), "r0"),
+        "update",
+        metrics=table,
+    )
+    recorded = jobs.read_metrics(spark, table).where("rows > 0")
+    return recorded.select("rows", "state_rows", (F.col("seconds") > 0).alias("timed"))
+
 
+@query
+def stream_restart(spark, sf_dir):
+    """History of the live job when every batch is lost once between write and commit."""
+    path = fresh_dir(spark, "history")
     pipeline.drain_in_waves(
         tables.raw_topic(spark, sf_dir, faults=False),
-        build,
-        write,
-        "append",
-        last=pipeline.end_marker(spark, closer.END_SESSION, closer.END_TIME),
+        jobs.stream_live_features,
+        jobs.FailOnce(sinks.offline_sink(path, "r0")),
+        "update",
+        may_fail=True,
     )
-    return spark.read.parquet(out).select(
-        "session_id",
-        "opened_at",
-        "last_seen",
-        "event_count",
-        "events_per_minute",
-        "unique_pages",
-        "avg_gap",
-        "cart_ratio",
-        "close_reason",
+    return offline.scan_offline(spark, path).select(
+        "session_id", "event_timestamp", "event_count", "payment_count", "pageview_count"
     )
 
 
+@query
+def stream_trigger_limits(spark, sf_dir):
+    """One backlog drained under different limits: batches taken, and what came of them."""
+    inbox = fresh_dir(spark, "inbox")
+    messages = tables.raw_topic(spark, sf_dir, faults=False)
+    topic.publish_to_files(messages, inbox, BACKLOG_FILES, ["timestamp"])
+    drained = []
+    for name, limit in TRIGGER_LIMITS.items():
+        path, table = fresh_dir(spark, "online"), fresh_dir(spark, "metrics")
+        query = jobs.drain(
+            jobs.stream_live_features(topic.read_message_files(spark, inbox, **limit)),
+            fresh_dir(spark, "checkpoint"),
+            sinks.online_sink(path, "r0"),
+        )
+        jobs.record_metrics(query, table)
+        batches = jobs.read_metrics(spark, table).where("rows > 0").agg(F.count(F.lit(1)))
+        drained.append(
+            sinks.read_online(spark, path).agg(
+                F.lit(name).alias("trigger_limit"),
+                batches.scalar().alias("batches"),
+                F.count(F.lit(1)).alias("sessions"),
+                F.sum("event_count").alias("events"),
+                F.sum("payment_count").alias("payments"),
+            )
+        )
+    return reduce(DataFrame.unionByName, drained)
+
+
 def _drain_rows(spark, messages, build):
     out = fresh_dir(spark, "drained")
 
@@ -792,7 +834,7 @@ def stream_session_window(spark, sf_dir):
         build,
         write,
         "append",
-        last=pipeline.end_marker(spark, closer.END_SESSION, closer.END_TIME),
+        last=pipeline.end_marker(spark, jobs.END_SESSION, jobs.END_TIME),
     )
     return spark.read.parquet(out).select("user_id", "event_count", "opened_at", "last_seen")
 
@@ -812,9 +854,7 @@ def enforce_contract(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return pipeline.closed_history(
-        _events(spark, sf_dir), IDLE_SECONDS, MAX_EVENTS, _width(spark, sf_dir)
-    )
+    return pipeline.closed_history(_events(spark, sf_dir), IDLE_SECONDS, MAX_EVENTS)
 
 
 _SERVED = ("event_count", *FEATURE_COLUMNS)
@@ -848,7 +888,6 @@ def asof_feature_join(spark, sf_dir):
         history,
         list(_SERVED),
         ttl=timedelta(hours=TTL_HOURS),
-        slot_seconds=_width(spark, sf_dir),
     )
 
 
@@ -994,4 +1033,4 @@ def engagement_decay(spark, sf_dir):
 
 @query
 def gap_bounds(spark, sf_dir):
-    return checks.gap_bounds(_events(spark, sf_dir), chunk_seconds=_width(spark, sf_dir))
+    return checks.gap_bounds(_events(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sessionlens.plans.catalog import (
     ARRIVAL_BATCH,
+    BACKLOG_FILES,
     IDLE_SECONDS,
     LATE_SECONDS,
     MAX_EVENTS,
@@ -638,15 +639,31 @@ def build() -> dict[str, str]:
 
     # streaming
     q["stream_live_features"] = _live(f"SELECT {_LIVE_COLUMNS} FROM live")
-    # At the end of the stream its clock is the newest event less the watermark's delay.
     q["stream_close_sessions"] = _buf(
-        f"""SELECT session_id, opened_at, last_seen, event_count, events_per_minute,
+        """SELECT session_id, opened_at, last_seen, event_count, events_per_minute,
           unique_pages_visited AS unique_pages, avg_time_between_events AS avg_gap,
-          cart_to_purchase_ratio AS cart_ratio,
-          CASE WHEN close_reason IN ('exit', 'cap') THEN close_reason
-               WHEN final AND date_diff('microsecond', last_seen,
-                 (SELECT max("timestamp") FROM ev) - INTERVAL 1 HOUR) <= {IDLE_MICROS}
-               THEN 'flush' ELSE 'idle' END AS close_reason FROM closed"""
+          cart_to_purchase_ratio AS cart_ratio, close_reason FROM closed"""
+    )
+    q["stream_restart"] = q["sink_offline"]
+    # A wave's rows, and the sessions seen up to it.
+    sliced = f"""(SELECT *, (epoch_us("timestamp") - lo) // ((hi - lo) // waves + 1) AS wave
+      FROM ev, (SELECT min(epoch_us("timestamp")) AS lo, max(epoch_us("timestamp")) AS hi,
+                  greatest(2, (count(*) + {WAVE_ROWS} - 1) // {WAVE_ROWS}) AS waves FROM ev))"""
+    q["stream_batch_metrics"] = _ev(
+        f"""SELECT rows, CAST(sum(opened) OVER (ORDER BY wave) AS BIGINT) AS state_rows, true AS timed
+          FROM (SELECT wave, count(*) AS rows, count(*) FILTER (first) AS opened
+                FROM (SELECT wave, row_number() OVER (PARTITION BY session_id
+                        ORDER BY "timestamp", event_id) = 1 AS first FROM {sliced})
+                GROUP BY wave)"""
+    )
+    limits = {"none": 1, "one byte": BACKLOG_FILES, "two files": (BACKLOG_FILES + 1) // 2}
+    q["stream_trigger_limits"] = _live(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS trigger_limit, CAST({batches} AS BIGINT) AS batches,
+              count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events,
+              CAST(sum(payment_count) AS BIGINT) AS payments FROM live"""
+            for name, batches in limits.items()
+        )
     )
     q["stream_new_sessions"] = _ev("SELECT DISTINCT session_id FROM ev")
     q["stream_unique_events"] = _ev('SELECT event_id, event_type, session_id, "timestamp" FROM ev')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,11 @@ from sessionlens.ml.iforest import CONTAMINATION, SEED, IsolationForest
 from sessionlens.ml.quantile import exact_quantile
 from sessionlens.operators.aggregates import row_mse
 from sessionlens.operators.features import session_features
+from sessionlens.operators.ordered import SLOT_SECONDS
 from sessionlens.operators.sessions import assign_closures
 from sessionlens.session import ensure_checkpoint_dir, fresh_dir
 from sessionlens.sources.topic import read_message_files
-from sessionlens.streaming.jobs import drain
+from sessionlens.streaming.jobs import InjectedFault, drain, record_metrics
 from sessionlens.streaming.sinks import BatchWriter
 
 # Fixed value: train errors above this quantile count as anomalous.
@@ -43,7 +45,7 @@ def closed_history(
     events: DataFrame,
     idle_seconds: float,
     max_events: int,
-    chunk_seconds: float | None = None,
+    chunk_seconds: float = SLOT_SECONDS,
 ) -> DataFrame:
     """Feature snapshots of every closed buffer: several rows per session over time."""
     assigned = assign_closures(
@@ -100,6 +102,8 @@ def drain_in_waves(
     mode: str,
     waves: int | None = None,
     last: DataFrame | None = None,
+    metrics: str | None = None,
+    may_fail: bool = False,
 ) -> None:
     """Replay stored messages as a stream: publish a time slice, drain it, repeat.
 
@@ -107,6 +111,8 @@ def drain_in_waves(
 
     Every wave restarts the job from its checkpoint and is one micro-batch; the
     optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``.
+    With ``metrics`` each run's batches are recorded in that table; with ``may_fail`` a run
+    that ends in an injected fault is started again.
     """
     spark = messages.sparkSession
     inbox, checkpoint = fresh_dir(spark, "inbox"), fresh_dir(spark, "checkpoint")
@@ -126,7 +132,15 @@ def drain_in_waves(
         slices.append(last)
     for part in slices:
         part.select("key", "value").write.mode("append").parquet(inbox)
-        drain(build(read_message_files(spark, inbox)), checkpoint, write, mode)
+        query = None
+        while query is None:  # every batch is lost once at most
+            try:
+                query = drain(build(read_message_files(spark, inbox)), checkpoint, write, mode)
+            except StreamingQueryException as lost:
+                if not may_fail or InjectedFault.__name__ not in str(lost):
+                    raise
+        if metrics:
+            record_metrics(query, metrics)
 
 
 def end_marker(spark: SparkSession, session_id: str, at: object) -> DataFrame:

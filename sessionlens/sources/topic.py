@@ -32,12 +32,23 @@ def read_topic(
 
 
 def read_message_files(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Stream of (key, value) messages from parquet files put into a folder."""
+    """Stream of (key, value) messages from parquet files put into a folder.
+
+    A backlog is taken in batches of at most ``files_per_trigger`` files or about
+    ``bytes_per_trigger`` bytes, one file at least.
+    """
+    if files_per_trigger and bytes_per_trigger:
+        raise ValueError("limit a trigger by files or by bytes, not by both")
     reader = spark.readStream.schema(MESSAGE_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_trigger))
     return reader.parquet(path)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +13,10 @@ from sessionlens.operators.live import WATERMARK, live_session_features
 from sessionlens.operators.validate import quarantine_events
 from sessionlens.streaming.sinks import BatchWriter
 
+# An event far ahead of all data moves the watermark past every idle window.
+END_SESSION = "__end__"
+END_TIME = datetime(2200, 1, 1, tzinfo=timezone.utc)
+
 
 def events_from(messages: DataFrame) -> DataFrame:
     """Decoded events of a message stream that name their session and time.
@@ -124,3 +130,37 @@ def batch_metrics(query: StreamingQuery) -> list[dict[str, float]]:
         }
         for p in query.recentProgress
     ]
+
+
+def record_metrics(query: StreamingQuery, path: str) -> None:
+    """Write a row for each micro-batch of a run to a table, in a folder of the run's own.
+
+    A run has a few numbers for each of its batches; recording it again replaces its folder.
+    """
+    spark = SparkSession.active()
+    rows = [tuple(m.values()) for m in batch_metrics(query)]
+    table = spark.createDataFrame(rows, "batch_id long, rows long, seconds double, state_rows long")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/run_id={query.runId}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Batches of all recorded runs; a batch that was replayed counts in its last run."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
+class InjectedFault(RuntimeError):
+    """Raised by ``FailOnce``."""
+
+
+class FailOnce:
+    """A writer that loses every batch once, after its write and before its commit."""
+
+    def __init__(self, write: BatchWriter) -> None:
+        self._write = write
+        self.lost: list[int] = []
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self._write(batch, batch_id)
+        if batch_id not in self.lost:
+            self.lost.append(batch_id)
+            raise InjectedFault(f"batch {batch_id} is lost between write and commit")

@@ -35,7 +35,8 @@ def online_sink(path: str, run: str) -> BatchWriter:
 
     A write costs the batch, never the whole table; reading picks the newest row
     per key, and ``compact_online`` shortens the log. Among equal event times the last
-    write wins: run names must sort in the order in which the runs were started.
+    write wins: runs go by the number that ends their name, so that ``r10`` comes after
+    ``r9``; a name without one stands for the first run.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -50,17 +51,19 @@ def online_sink(path: str, run: str) -> BatchWriter:
 
 
 #: What makes a row of the online log newer than another of its session.
-WRITE_ORDER = ("event_timestamp", "run", "batch_id")
+WRITE_ORDER = ("event_timestamp", "run_number", "batch_id")
 
 
-def _log_rows(spark: SparkSession, path: str) -> DataFrame:
-    return scan_offline(spark, path).drop("event_date")
+def _newest(rows: DataFrame) -> DataFrame:
+    """Newest row per session of log rows, by event time and then by the order of writing."""
+    number = F.regexp_extract(F.col("run").cast("string"), "([0-9]+)$", 1).try_cast("long")
+    numbered = rows.drop("event_date").withColumn("run_number", F.coalesce(number, F.lit(-1)))
+    return latest_per_session(numbered, order=WRITE_ORDER).drop("run", "batch_id", "run_number")
 
 
 def read_online(spark: SparkSession, path: str) -> DataFrame:
     """Newest row per session, the last write winning among equal event times."""
-    rows = _log_rows(spark, path)
-    return latest_per_session(rows, order=WRITE_ORDER).drop("run", "batch_id")
+    return _newest(scan_offline(spark, path))
 
 
 def lookup_online(
@@ -69,10 +72,7 @@ def lookup_online(
     """Unexpired rows at ``now``; only the event dates within the expiry are read."""
     oldest = now - F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
     recent = scan_offline(spark, path).where(F.col("event_date") >= F.to_date(oldest))
-    newest = latest_per_session(recent.drop("event_date"), order=WRITE_ORDER).drop(
-        "run", "batch_id"
-    )
-    return online_lookup_ttl(newest, now, ttl).where("fresh").drop("fresh")
+    return online_lookup_ttl(_newest(recent), now, ttl).where("fresh").drop("fresh")
 
 
 def compact_online(spark: SparkSession, path: str, target: str, run: str) -> None:

@@ -6,15 +6,18 @@ from conftest import as_dicts, at, event, random_events
 from pyspark.sql import functions as F
 
 from sessionlens.operators import sessions
-from sessionlens.operators.ordered import densest_chunk, ordered_scan
+from sessionlens.functions.expressions import time_bucket
+from sessionlens.operators import ordered
+from sessionlens.operators.ordered import BLOCK, CHUNK, ordered_scan
 
 
 def naive(moment):
     return moment.replace(tzinfo=None)
 
 
-@pytest.mark.parametrize("chunk", [0.5, 60, 10**6])
-def test_ordered_scan_matches_sorting(make_events, chunk):
+@pytest.mark.parametrize("chunk, block", [(0.5, 1), (0.5, 3), (60, 4), (60, 4096), (10**6, 4096)])
+def test_ordered_scan_matches_sorting(make_events, monkeypatch, chunk, block):
+    monkeypatch.setattr(ordered, "BLOCK_SLOTS", block)
     rows = random_events(random.Random(1))
     scanned = ordered_scan(
         make_events(rows), "session_id", chunk_seconds=chunk, carry={"kind": F.col("event_type")}
@@ -38,8 +41,9 @@ def test_rows_at_one_instant_are_ordered_by_id(make_events):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("chunk", [7, 60, 10**6])
-def test_closure_matches_a_buffer(make_events, seed, chunk):
+@pytest.mark.parametrize("chunk, block", [(7, 2), (7, 50), (60, 4096), (10**6, 4096)])
+def test_closure_matches_a_buffer(make_events, monkeypatch, seed, chunk, block):
+    monkeypatch.setattr(ordered, "BLOCK_SLOTS", block)
     rows = random_events(random.Random(seed), rows=300)
     closed = sessions.close_sessions(
         make_events(rows), idle_seconds=40, max_events=5, chunk_seconds=chunk
@@ -156,7 +160,21 @@ def test_late_policies_do_not_depend_on_blocks(make_events, block):
     assert len(dropped) == 60 - len(late) and not {r["event_id"] for r in dropped} & late
 
 
-def test_densest_chunk(make_events):
-    rows = [event(i, "click", i) for i in range(100)]
-    got = densest_chunk(make_events(rows), "session_id", "timestamp", 60).first()
-    assert (got["max_chunk_rows"], got["chunks"]) == (60, 2)
+def test_no_task_gets_more_than_a_slot_a_block_or_the_blocks_of_a_hot_key(make_events, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_SLOTS", 32)
+    rng = random.Random(3)
+    rows = [event(i, "click", rng.random() * 20_000, "hot" if i % 20 else f"s{i}") for i in range(4000)]
+    slots = make_events(rows).groupBy("session_id", time_bucket(F.col("timestamp"), 10.0).alias(CHUNK)).count()
+    blocks = ordered.blocked(slots).groupBy("session_id", BLOCK).count()
+    assert slots.agg(F.max("count")).first()[0] <= 20  # rows of a slot, of the 3,800 of the key
+    assert blocks.agg(F.max("count")).first()[0] <= 32  # slots of a block, of some 1,700
+    assert blocks.groupBy("session_id").count().agg(F.max("count")).first()[0] <= 64  # blocks of the key
+    scanned = ordered_scan(make_events(rows), "session_id", chunk_seconds=10.0)
+    # Every window over rows or slots is parted by more than the key.
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    by_key = [line for line in windows if "_chunk" not in line and "_block" not in line]
+    assert windows and all("sum(_n" in line for line in by_key)  # the total over a key's blocks
+    numbers = {r["event_id"]: r["row_number"] for r in scanned.where("session_id = 'hot'").collect()}
+    ordered_ids = sorted((e for e in as_dicts(rows) if e["session_id"] == "hot"), key=lambda e: (e["timestamp"], e["event_id"]))
+    assert [numbers[e["event_id"]] for e in ordered_ids] == list(range(1, len(ordered_ids) + 1))

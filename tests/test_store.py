@@ -31,6 +31,15 @@ def feature_row(spark, **changes):
     return spark.createDataFrame([tuple(values.values())], schema)
 
 
+def test_runs_go_by_number_not_by_name(spark, tmp_path):
+    path = str(tmp_path / "online")
+    for run, value in (("r10", 3), ("r9", 2), ("r", 1)):
+        sinks.online_sink(path, run)(spark.createDataFrame([("a", at(0), value)], ROW), 0)
+    kept = sinks.read_online(spark, path)
+    assert kept.columns == spark.createDataFrame([], ROW).columns
+    assert [tuple(r)[2] for r in kept.collect()] == [3]
+
+
 def test_contract_casts_and_rejects(spark):
     row = feature_row(spark).withColumn("has_payment", F.lit(1).cast("int")).withColumn("junk", F.lit(1))
     kept = store.enforce_contract(row)

@@ -121,8 +121,8 @@ def test_new_sessions_and_unique_events(spark, inbox, tmp_path):
 
 
 def end_line():
-    stamp = closer.END_TIME.strftime("%Y-%m-%dT%H:%M:%S.000000Z")
-    return json.dumps({"event_id": "end", "session_id": closer.END_SESSION, "user_id": "-", "timestamp": stamp})
+    stamp = jobs.END_TIME.strftime("%Y-%m-%dT%H:%M:%S.000000Z")
+    return json.dumps({"event_id": "end", "session_id": jobs.END_SESSION, "user_id": "-", "timestamp": stamp})
 
 
 def test_idle_windows_of_a_stream(spark, inbox, tmp_path):
@@ -145,25 +145,85 @@ def test_idle_windows_of_a_stream(spark, inbox, tmp_path):
     assert got == sorted(expected)
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_stream_closure_matches_a_buffer(spark, inbox, tmp_path, shuffled):
-    closer.use_rocksdb(spark)
-    rows = random_events(random.Random(11), rows=160, span=2500)
-    out = str(tmp_path / "out")
-    for part in [*slices(rows, 2, random.Random(1) if shuffled else None), [end_line()]]:
+def close_slices(spark, inbox, tmp_path, closing, parts):
+    for part in parts:
         inbox.put(part)
         events = jobs.events_from(topic.read_json_lines(spark, str(inbox.path)))
-        stream = closer.stream_close_sessions(events, idle_seconds=40, max_events=5, delay="0 seconds")
-        jobs.drain_to_files(stream, str(tmp_path / "cp"), out, timeout=200)
-    got = sorted(
-        (r["session_id"], r["event_count"], r["opened_at"], r["last_seen"], r["close_reason"])
-        for r in spark.read.parquet(out).collect()
-    )
-    expected = sorted(
+        jobs.drain(closer.stream_close_sessions(events), str(tmp_path / "cp"), closing.write, "append", 200)
+
+
+def found(rows):
+    return sorted((r["session_id"], r["event_count"], r["opened_at"], r["last_seen"], r["close_reason"]) for r in rows.collect())
+
+
+def expected_buffers(rows, *limits):
+    return sorted(
         (s, n, a.replace(tzinfo=None), b.replace(tzinfo=None), reason)
-        for s, n, a, b, reason in close_buffers(as_dicts(rows), 40, 5)
+        for s, n, a, b, reason in close_buffers(as_dicts(rows), *limits)
     )
-    assert got == expected
+
+
+@pytest.mark.parametrize("order", ["sorted", "shuffled", "across"])
+def test_stream_closure_matches_a_buffer(spark, inbox, tmp_path, order):
+    rows = random_events(random.Random(11), rows=160, span=2500)
+    parts, delay = slices(rows, 2, random.Random(1) if order == "shuffled" else None), 0
+    if order == "across":
+        # Neighbouring slices hold each other's rows; the delay allows for that.
+        lines, delay = sum(slices(rows, 1), []), 1500
+        parts = [[x for i, x in enumerate(lines) if i * 3 // len(lines) + (i % 7 == 0) == k] for k in range(4)]
+    closing = closer.SessionCloser(str(tmp_path / "out"), 40, 5, delay, slot_seconds=30)
+    close_slices(spark, inbox, tmp_path, closing, parts)
+    closing.flush(spark)
+    assert found(closing.closed(spark)) == expected_buffers(rows, 40, 5)
+    assert closing.late(spark).count() == 0
+    closing.flush(spark)  # a second flush finds nothing
+    assert found(closing.closed(spark)) == expected_buffers(rows, 40, 5)
+
+
+def test_late_rows_change_no_buffer_and_are_kept(spark, inbox, tmp_path):
+    closing = closer.SessionCloser(str(tmp_path / "out"), 40, 500, delay_seconds=10)
+    first = [event(1, "click", 0), event(2, "pageview", 5, url="/exit"), event(3, "click", 100, "s2")]
+    # One row is older than the clock (90 s) and one is not, though older than the newest row.
+    second = [event(4, "click", 3), event(5, "click", 95, "s2"), event(6, "click", 130, "s2")]
+    close_slices(spark, inbox, tmp_path, closing, [[to_line(e) for e in as_dicts(part)] for part in (first, second)])
+    closing.flush(spark)
+    assert [(s, n, r) for s, n, _, _, r in found(closing.closed(spark))] == [("s1", 2, "exit"), ("s2", 3, "flush")]
+    assert [(r["event_id"], r["batch_id"]) for r in closing.late(spark).collect()] == [("e000004", 1)]
+
+
+def test_a_flushed_checkpoint_goes_on_with_later_events(spark, inbox, tmp_path):
+    closing = closer.SessionCloser(str(tmp_path / "out"), 40, 500, delay_seconds=0)
+    one = [event(1, "click", 0), event(2, "click", 10)]
+    two = [event(3, "click", 20), event(4, "click", 30)]
+    close_slices(spark, inbox, tmp_path, closing, [[to_line(e) for e in as_dicts(one)]])
+    closing.flush(spark)
+    assert [(n, r) for _, n, _, _, r in found(closing.closed(spark))] == [(2, "flush")]
+    close_slices(spark, inbox, tmp_path, closing, [[to_line(e) for e in as_dicts(two)]])
+    closing.flush(spark)
+    assert [(n, r) for _, n, _, _, r in found(closing.closed(spark))] == [(2, "flush"), (2, "flush")]
+
+
+def test_a_batch_that_failed_after_its_write_is_replayed_once(spark, inbox, tmp_path):
+    rows = random_events(random.Random(4), rows=90, span=1500)
+    closing = closer.SessionCloser(str(tmp_path / "out"), 40, 5, 0)
+    failed = []
+
+    def fail_once(batch, batch_id):
+        closing.write(batch, batch_id)
+        if batch_id not in failed:
+            failed.append(batch_id)
+            closing.flush(batch.sparkSession)  # even a flush between goes with the replay
+            raise RuntimeError("lost after the write")
+
+    for part in slices(rows, 3):
+        inbox.put(part)
+        stream = closer.stream_close_sessions(jobs.events_from(topic.read_json_lines(spark, str(inbox.path))))
+        with pytest.raises(Exception, match="lost after the write"):
+            jobs.drain(stream, str(tmp_path / "cp"), fail_once, "append", 200)
+        jobs.drain(stream, str(tmp_path / "cp"), fail_once, "append", 200)
+    closing.flush(spark)
+    assert failed == [0, 1, 2]
+    assert found(closing.closed(spark)) == expected_buffers(rows, 40, 5)
 
 
 def test_topic_options():
