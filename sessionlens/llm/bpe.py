@@ -16,22 +16,23 @@ Decoding concatenates the bytes of tokens up a tree of halves.
 from __future__ import annotations
 
 import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from sessionlens.llm.common import free_name, lean_batches
-from sessionlens.llm.vocabulary import PATTERN, RANKS, chunks_of_words, parse_ranks, read_bytes
+from sessionlens.llm.vocabulary import PATTERN, RANKS, WordIds, parse_ranks, read_bytes
 
 #: Bytes that a leaf of the tree holds at most.
 LEAF = 16
-#: Pre-tokens and token pairs remembered by a task; beyond that its memory starts anew,
-#: which changes no result.
+#: Bytes up to which neighbours are scanned rather than kept in a heap.
+SHORT = 64
+#: Token pairs remembered by a task; beyond that its memory starts anew, which changes no
+#: result.
 REMEMBERED = 400_000
 #: Tokens that a leaf of the decoding tree holds at most.
 DECODE_LEAF = 4096
@@ -49,19 +50,17 @@ class MergeTree:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self._settled: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, list[int]] = {}
+        self._never = len(self.tokens)
+        self._byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self._pair_ranks = [
+            [ranks.get(bytes([a, b]), self._never) for b in range(256)] for a in range(256)
+        ]
 
     def word(self, word: str) -> list[int]:
         """Ids of a pre-token. One that is itself a token is that token."""
-        known = self._words.get(word)
-        if known is None:
-            data = word.encode()
-            whole = self.ranks.get(data)
-            known = [whole] if whole is not None else self.encode(data)
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            self._words[word] = known
-        return known
+        data = word.encode()
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.encode(data)
 
     def encode(self, data: bytes) -> list[int]:
         """Encode both halves and join them."""
@@ -99,11 +98,29 @@ class MergeTree:
         return known
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge directly: the neighbours with the lowest rank first, the leftmost of equals.
+        """Merge directly: the neighbours with the lowest rank first, the leftmost of equals."""
+        if len(data) > SHORT:
+            return self._merge_wide(data)
+        rank_of, never, pair_ranks = self.ranks.get, self._never, self._pair_ranks
+        ids = [self._byte_ids[b] for b in data]
+        pairs = [pair_ranks[a][b] for a, b in zip(data, data[1:])]
+        cuts = list(range(len(data) + 1))
+        while pairs:
+            lowest = min(pairs)
+            if lowest == never:
+                break
+            # The rank of the merged bytes is the new token.
+            i = pairs.index(lowest)
+            ids[i] = lowest
+            del pairs[i], cuts[i + 1], ids[i + 1]
+            if i < len(pairs):
+                pairs[i] = rank_of(data[cuts[i] : cuts[i + 2]], never)
+            if i:
+                pairs[i - 1] = rank_of(data[cuts[i - 1] : cuts[i + 1]], never)
+        return ids
 
-        The parts are a linked list and the mergeable neighbours a heap, so that a wide
-        window costs n log n.
-        """
+    def _merge_wide(self, data: bytes) -> list[int]:
+        """The same for wide windows, in n log n: a linked list of parts and a heap of neighbours."""
         n = len(data)
         rank_of = self.ranks.get
         end = list(range(1, n + 1))
@@ -144,6 +161,14 @@ class MergeTree:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_each(self, ids: list[int], sizes: list[int]) -> list[bytes]:
+        """Bytes of sequences that lie one after another in ``ids``."""
+        out, at = [], 0
+        for size in sizes:
+            out.append(self.decode(ids[at : at + size]))
+            at += size
+        return out
+
 
 def encode_texts(
     docs: DataFrame,
@@ -151,9 +176,16 @@ def encode_texts(
     into: str = "ids",
     vocabulary: str = RANKS,
     pattern: str = PATTERN,
+    decoded: str | None = None,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Add the token ids (array of int) of each whole text; all other columns stay.
 
+    Without ``keep_text`` the text itself does not come back.
+
+    With ``decoded`` a column of that name holds the bytes that the ids decode to, made in
+    the same pass from the ids alone.
+
     Every match of ``pattern`` is encoded by itself, without special tokens: their strings
     are plain text. Null and empty texts have no ids. Repeated rows and null ids stay rows of
     their own; the new column gets underscores before it where its name is taken. Nothing
@@ -161,27 +193,27 @@ def encode_texts(
     """
     lean_batches(docs.sparkSession)
     into = free_name(docs, into)
+    back = free_name(docs, decoded) if decoded else None
+    kept = [c for c in docs.columns if keep_text or c != text]
     ranks = docs.sparkSession.sparkContext.broadcast(read_bytes(vocabulary))
 
     def encode(batches):
         tree = MergeTree(parse_ranks(ranks.value))
-        cut = regex.compile(pattern)
+        words = WordIds(lambda new: [tree.word(w) for w in new], pattern)
         for batch in batches:
-            sizes, parts = [], []
-            for t in batch.column(text).to_pylist():
-                size = 0
-                for words in chunks_of_words(t or "", cut):
-                    ids = np.fromiter(chain.from_iterable(map(tree.word, words)), np.int32)
-                    parts.append(ids)
-                    size += len(ids)
-                sizes.append(size)
+            ids, sizes = words.ids([t or "" for t in batch.column(text).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, into])
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            columns, names = [*[batch.column(c) for c in kept], found], [*kept, into]
+            if back:
+                columns.append(pa.array(tree.decode_each(ids.tolist(), sizes.tolist()), pa.binary()))
+                names.append(back)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = StructType([*docs.schema, StructField(into, ArrayType(IntegerType(), True))])
-    return docs.mapInArrow(encode, schema)
+    fields = [*[docs.schema[c] for c in kept], StructField(into, ArrayType(IntegerType(), True))]
+    if back:
+        fields.append(StructField(back, BinaryType()))
+    return docs.mapInArrow(encode, StructType(fields))
 
 
 def decode_ids(
@@ -201,10 +233,8 @@ def decode_ids(
         tree = MergeTree(parse_ranks(ranks.value))
         for batch in batches:
             column = batch.column(ids)
-            found = [
-                tree.decode(column[i].values.to_pylist() if column[i].is_valid else [])
-                for i in range(batch.num_rows)
-            ]
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+            found = tree.decode_each(column.flatten().to_pylist(), sizes)
             kept = [batch.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], [*others, into])
 
@@ -220,14 +250,11 @@ def token_digests(
     The ids are encoded, then decoded again from the ids alone. Null and empty texts have no
     tokens and the hash of nothing twice; repeated rows and null ids give rows of their own.
     """
-    encoded = encode_texts(docs.select(doc_id, text), text, "ids", vocabulary)
-    summed = encoded.select(
-        doc_id,
-        "ids",
+    narrow = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    encoded = encode_texts(narrow, "_text", "ids", vocabulary, decoded="decoded", keep_text=False)
+    return encoded.select(
+        F.col("_id").alias(doc_id),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-    )
-    decoded = decode_ids(summed, "ids", "decoded", vocabulary)
-    return decoded.select(
-        doc_id, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

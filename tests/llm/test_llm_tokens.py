@@ -99,6 +99,9 @@ def test_byte_pairs_keep_other_columns_and_round_trip(spark):
     back = bpe.decode_ids(encoded, "_ids")
     assert back.columns == ["doc_id", "text", "ids", "decoded", "_decoded"]
     assert all(bytes(r._decoded) == (r.text or "").encode() for r in back.collect())
+    both = bpe.encode_texts(docs, decoded="decoded")
+    assert both.columns == ["doc_id", "text", "ids", "decoded", "_ids", "_decoded"]
+    assert sorted(both.select("doc_id", "_decoded").collect()) == sorted(back.select("doc_id", "_decoded").collect())
 
 
 def plain_alignment(texts):
