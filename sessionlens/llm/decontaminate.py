@@ -8,6 +8,10 @@ of them. Any such window contains a hit: of 13 tokens with two replaced, the fir
 finds five matching ones wherever the replacements are. Where the masks cannot promise that
 for a short item, its tokens are dealt over one more mask than it may have replacements, so
 that one of these holds none of them.
+
+A small benchmark's seeds go to every executor. Seeds of a large one meet those of the
+documents by a shuffle of a few numbers for each place; only the hits fetch their document's
+tokens, whose texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -123,7 +127,9 @@ def find_overlaps(
     ids apart), the item's id, ``n_places`` (alignments that overlap) and ``best_match``
     (equal tokens of the best window). An item shorter than the window is compared whole,
     with proportionally fewer replacements, and one of up to six tokens with none. Null and
-    empty texts overlap nothing. Repeated document or item rows count once.
+    empty texts overlap nothing. Repeated document or item rows count once. A long text or a
+    word that it repeats costs a seed for each of its places; more than ``broadcast_seeds``
+    seeds of the benchmark change the way of the join, not its result.
     """
     span = _span(masks)
     # Tokens that can share a window with a seed, by their distance from its start.
@@ -149,13 +155,26 @@ def find_overlaps(
         (reach - F.floor(reach * F.lit(substitutions) / F.lit(window))).cast("int").alias("needed"),
         *(F.get("item_tokens", F.col("at") + k).alias(f"t{k - around[0]}") for k in around),
     )
-    if item_seeds.count() <= broadcast_seeds:
-        item_seeds = F.broadcast(item_seeds)
-    doc_tokens = docs.select(
+    few = item_seeds.count() <= broadcast_seeds
+    texts = docs.select(
         F.col(doc_id).alias("doc"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc_hash"),
-        tokens_of(F.col(text)).alias("doc_tokens"),
+        F.col(text).alias("doc_text"),
     )
+    if not few:
+        # Repeated rows would meet each other's hits below.
+        texts = texts.dropDuplicates(["doc", "doc_hash"])
+    doc_tokens = texts.select("doc", "doc_hash", tokens_of(F.col("doc_text")).alias("doc_tokens"))
+    doc_places = _places(doc_tokens, "doc_tokens", masks, numbers)
+    if few:
+        hits = doc_places.join(F.broadcast(item_seeds), "seed")
+    else:
+        narrow = doc_places.select("doc", "doc_hash", "at", "seed").join(item_seeds, "seed")
+        held = doc_tokens.select(
+            F.col("doc").alias("held_doc"), F.col("doc_hash").alias("held_hash"), "doc_tokens"
+        )
+        same = F.col("doc").eqNullSafe(F.col("held_doc")) & (F.col("doc_hash") == F.col("held_hash"))
+        hits = narrow.join(held, same)
     # Positions outside of either text never match, so a window that hangs over an end has
     # no more matches than the one moved inside, and short items need no case of their own.
     # Matches are bits of one number: few operations for a row keep the compiled loop short.
@@ -172,9 +191,7 @@ def find_overlaps(
     ]
     # Diagonals first: their partial maxima leave a row for each document and item.
     places = (
-        _places(doc_tokens, "doc_tokens", masks, numbers)
-        .join(item_seeds, "seed")
-        .withColumn("diagonal", F.col("at") - F.col("item_at"))
+        hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
         .withColumn("equal", equal)
         .groupBy("doc", "doc_hash", "item", "diagonal")
         .agg(F.max(F.greatest(*windows)).alias("best"), F.max("needed").alias("needed"))
@@ -196,7 +213,12 @@ def find_overlaps(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object
 ) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
+    """The rows of ``docs`` that overlap no benchmark item, with all their columns.
+
+    Rows with null or empty texts stay, repeated rows and rows with equal or null ids are
+    judged each by its own text, and an empty table or benchmark takes nothing away. Columns
+    of any name are kept as they are.
+    """
     theirs, theirs_hash, mine = (
         free_name(docs, n) for n in ("found_id", "found_hash", "own_hash")
     )

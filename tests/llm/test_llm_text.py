@@ -228,6 +228,27 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_many_seeds_are_joined_without_token_lists(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=4))
+    items = [(i, [word() for _ in range(30)]) for i in range(30)] + [(30, ["the"] * 20)]
+    long = [word() for _ in range(20_000)]
+    long[9_000:9_030] = items[4][1]
+    texts = [" ".join(long), "the " * 3000, "the " * 3000, " ".join(items[7][1]), " ".join(items[7][1][4:18]), "", None]
+    ids = [1, 2, 2, None, None, 5, 6]
+    docs = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    few, many = (decontaminate.find_overlaps(docs, bench, broadcast_seeds=n) for n in (10**6, 0))
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert {(r.doc_id, r.item_id) for r in many.collect()} == {(1, 4), (2, 30), (None, 7)}
+    # What is shuffled by seed: four numbers for each place of a document, no token list.
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = many._jdf.queryExecution().explainString(mode)
+    sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\(seed#", plan)
+    sent = [s for s in sent if "doc_hash" in s]
+    assert sent and all(len(s.split(", ")) == 4 and "tokens" not in s for s in sent)
+
+
 def plain_overlap(item, doc):
     """Best match and number of overlapping alignments, by comparing all of them."""
     reach = min(13, len(item))
