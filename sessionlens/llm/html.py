@@ -64,8 +64,9 @@ INPUTS = PATH_SIZE + WORD_SIZE + FIGURES
 HIDDEN = 16
 #: Pages of the sample, layouts made of each, and passes over them.
 FIT_PAGES, LAYOUTS, EPOCHS, BATCH, STEP = 240, 4, 4, 32, 0.01
-#: Pages labelled together; they are sorted by their number of blocks first.
-TOGETHER = 64
+#: Pages labelled together, sorted by their number of blocks first, and blocks, padding
+#: included, whose vectors are held at once: a very long page is read in pieces.
+TOGETHER, HELD = 64, 8192
 SEED = 5
 
 # Tags and names that tell blocks apart in the sample.
@@ -191,13 +192,15 @@ class Vectors:
             self.paths[path] = known
         return known
 
-    def page(self, blocks: list[Block]) -> np.ndarray:
-        out = np.zeros((len(blocks), INPUTS), np.float32)
+    def page(self, blocks: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Vectors of a page's blocks, or of those from ``start`` to before ``stop``."""
+        part = blocks[start:stop]
+        out = np.zeros((len(part), INPUTS), np.float32)
         if len(self.words) > self.KEPT:
             self.words = {}
         known = self.words
-        for i, b in enumerate(blocks):
-            row = out[i]
+        for i, b in enumerate(part, start):
+            row = out[i - start]
             row[:PATH_SIZE] = self.path(b.path)
             words = b.text.split()
             for w in words:
@@ -242,8 +245,45 @@ class Labeller:
     def weights(self) -> list[np.ndarray]:
         return [*self.inward, *self.inner, *self.shift, self.last]
 
+    def step(self, d: int, fed: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Gates, cell input, new cell and its tanh for one block of each page."""
+        z = fed + h @ self.inner[d]
+        gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
+        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+        g = np.tanh(z[:, 3 * HIDDEN :])
+        new_c = f * c + i * g
+        return i, f, o, g, new_c, np.tanh(new_c)
+
+    def margins(self, pages: list[list[Block]], vectors: Vectors) -> np.ndarray:
+        """Margins of pages x blocks alone: of the steps only the state is kept.
+
+        Vectors are made for ``HELD`` blocks at a time, once for each direction where the
+        pages are longer.
+        """
+        length = max(map(len, pages))
+        piece = max(1, HELD // len(pages))
+        out = np.full((len(pages), length), self.last[-1], np.float32)
+        starts = range(0, length, piece)
+        x = None
+        for d in range(2):
+            last = self.last[d * HIDDEN : (d + 1) * HIDDEN]
+            h = np.zeros((len(pages), HIDDEN), np.float32)
+            c = np.zeros((len(pages), HIDDEN), np.float32)
+            for start in starts if d == 0 else reversed(starts):
+                if x is None or len(starts) > 1:
+                    x, mask = padded([vectors.page(p, start, start + piece) for p in pages])
+                fed = (x.reshape(-1, INPUTS) @ self.inward[d] + self.shift[d]).reshape(*mask.shape, 4 * HIDDEN)
+                here = range(mask.shape[1])
+                for t in here if d == 0 else reversed(here):
+                    _, _, o, _, new_c, squashed = self.step(d, fed[:, t], h, c)
+                    on = mask[:, t : t + 1]
+                    c = on * new_c + (1 - on) * c
+                    h = on * (o * squashed) + (1 - on) * h
+                    out[:, start + t] += h @ last
+        return out
+
     def run(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Margins of pages x blocks, and what the backward pass needs.
+        """Margins of pages x blocks, and what the backward pass needs, for fitting.
 
         Where ``mask`` is zero the state passes through, so padding changes nothing.
         """
@@ -257,13 +297,8 @@ class Labeller:
             fed = fed.reshape(pages, length, 4 * HIDDEN)
             steps = []
             for t in range(length) if d == 0 else range(length - 1, -1, -1):
-                z = fed[:, t] + h @ self.inner[d]
-                gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
-                i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-                g = np.tanh(z[:, 3 * HIDDEN :])
+                i, f, o, g, new_c, squashed = self.step(d, fed[:, t], h, c)
                 on = mask[:, t : t + 1]
-                new_c = f * c + i * g
-                squashed = np.tanh(new_c)
                 steps.append((t, h, c, i, f, o, g, squashed, on))
                 c = on * new_c + (1 - on) * c
                 h = on * (o * squashed) + (1 - on) * h
@@ -465,12 +500,17 @@ def label_pages(model: Labeller, pages: list[list[Block]], vectors: Vectors) ->
     """For each page, which of its blocks are main text."""
     kept = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), TOGETHER):
-        part = order[at : at + TOGETHER]
-        x, mask = padded([vectors.page(pages[i]) for i in part])
-        margin, _ = model.run(x, mask)
+    at = 0
+    while at < len(order):
+        upto = at + 1
+        # The next page is the longest so far, so all others are padded to it.
+        while upto < len(order) and upto - at < TOGETHER and (upto + 1 - at) * len(pages[order[upto]]) <= HELD:
+            upto += 1
+        part = order[at:upto]
+        margin = model.margins([pages[i] for i in part], vectors)
         for row, i in enumerate(part):
             kept[i] = margin[row, : len(pages[i])] > 0
+        at = upto
     return kept
 
 
