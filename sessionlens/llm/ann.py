@@ -9,7 +9,8 @@ a hypothesis test on the partial distances abandons the candidates that are too
 among the nearest. What survives is compared in double precision on the original vectors.
 
 The distance to beat comes first from the query's neighbours in the sample. They are rows
-of the table too and so go into the answer, which therefore never runs short.
+of the table too, so they fill up an answer that would otherwise run short; the lists find
+the others, in a table of any size.
 
 Equal vectors are indexed once with their smallest ids, enough to fill any answer. Lists are
 cut into chunks of rows and of queries, so that no task holds a large list.
@@ -28,15 +29,16 @@ from pyspark.sql.window import Window as W
 from sessionlens.llm.common import hash_share, lean_batches, stored
 
 NEAREST = 5
-#: Rows that centroids are fitted on and queries look at first.
-SAMPLE_ROWS = 8192
+#: Rows that centroids are fitted on and queries look at first: a share of the distinct
+#: vectors, within these, so that a small table is searched by its lists as a large one is.
+SAMPLE_SHARE, LEAST_SAMPLE, SAMPLE_ROWS = 1 / 8, 128, 8192
 #: Lists: the square root of the rows, within these.
 LEAST_LISTS, MOST_LISTS = 8, 4096
 ROUNDS = 8
 #: Columns read between two tests, and the tests' strictness (in standard errors).
 COLUMNS, STRICT = 16, 2.5
 #: Share of the expected nearer rows that the probed lists hold together.
-PROBED_SHARE = 0.99
+PROBED_SHARE = 0.998
 #: Rows and queries of a chunk.
 CHUNK_ROWS, CHUNK_QUERIES = 8192, 1024
 SEED = 31
@@ -51,11 +53,15 @@ class Index:
     sample: np.ndarray  # unit vectors
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, exact, so that tiny and huge components neither vanish nor overflow."""
     x = x.astype(np.float64)
-    # Powers of two first, so that tiny and huge components neither vanish nor overflow.
     top = np.abs(x).max(axis=1, keepdims=True) if x.size else np.ones((len(x), 1))
-    x = x / np.exp2(np.ceil(np.log2(top)))
+    return np.ldexp(x, -np.frexp(top)[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -162,7 +168,7 @@ def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, the same for equal rows wherever they stand."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = scaled(a), scaled(b)
     dot = (a * b).sum(axis=1)
     return dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
@@ -199,7 +205,8 @@ def nearest_neighbours(
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows
     but the query's own, copies of it included. Ranks go by cosine, ties to the smaller
-    id. A query with fewer candidates gets them all only if no test abandons one. Rows
+    id. A query with fewer than k candidates gets them all: so few rows are all in the sample,
+    which answers whatever the tests abandon. Rows
     without a usable vector take no part; an empty table gives no rows. Rows that repeat an
     id count once for each different vector.
     """
@@ -224,7 +231,7 @@ def nearest_neighbours(
     n = distinct.count()
     chosen = (
         distinct.withColumn("id", F.col("ids")[0])
-        .where(hash_share("id", SEED, sample_rows / max(1, n)))
+        .where(hash_share("id", SEED, min(sample_rows, max(LEAST_SAMPLE, n * SAMPLE_SHARE)) / max(1, n)))
         .orderBy("id", "vector")
         .toArrow()
     )

@@ -1,6 +1,7 @@
 """Quality, toxicity, page text, nearest neighbours and the pipeline."""
 
 import math
+import tracemalloc
 import random
 import zlib
 
@@ -192,6 +193,43 @@ def test_formulas_fallbacks_and_unclosed_graphics_stay():
     assert text("<p>a<template><p>no</template>b<script>c<p>d") == ["a b"]
 
 
+def some_blocks(rng, n):
+    words = ["home", "menu", "river", "stone", "reply", "light", "search"]
+    paths = [("html", "body", "nav", "li"), ("html", "body", "article", "p"), ("html", "body", "div side", "p")]
+    return [
+        html.Block(paths[rng.integers(3)], " ".join(words[i] for i in rng.integers(7, size=rng.integers(1, 9))), 0)
+        for _ in range(n)
+    ]
+
+
+def test_scoring_in_pieces_equals_the_fitted_pass(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = html.Labeller.fresh(rng)
+    pages = [some_blocks(rng, n) for n in (1, 7, 40, 23, 200)]
+    vectors = html.Vectors()
+    x, mask = html.padded([vectors.page(p) for p in pages])
+    want, _ = model.run(x, mask)
+    for held in (8192, 64, 5):
+        monkeypatch.setattr(html, "HELD", held)
+        assert np.allclose((model.margins(pages, vectors) - want) * mask, 0, atol=1e-4)
+        kept = html.label_pages(model, [*pages, []], vectors)
+        assert [len(k) for k in kept] == [1, 7, 40, 23, 200, 0]
+        for row, k in enumerate(kept[:5]):
+            sure = np.abs(want[row, : len(k)]) > 1e-4
+            assert ((want[row, : len(k)] > 0) == k)[sure].all()
+
+
+def test_a_very_long_page_is_labelled_in_little_memory():
+    rng = np.random.default_rng(4)
+    pages = [some_blocks(rng, 20) for _ in range(63)] + [some_blocks(rng, 6000)]
+    model, vectors = html.Labeller.fresh(rng), html.Vectors()
+    tracemalloc.start()
+    kept = html.label_pages(model, pages, vectors)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(kept[-1]) == 6000 and most < 32 * 2**20
+
+
 def test_page_text_equals_the_article(spark):
     pages = table(spark, SF, "pages").select("page_id", "url", "html")
     extra = spark.createDataFrame([(None, None, None), (-1, "u", ""), (-1, "u", "")], pages.schema)
@@ -238,6 +276,29 @@ def test_neighbours_reach_the_recall(spark):
     assert got[100] == want[100] == [101, 102, 103, 104, 105]
 
 
+def test_lists_find_what_the_sample_does_not_hold(spark):
+    """Default parameters, on a table eight times the sample and on an isotropic one."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 24))
+    for x in (centres[rng.integers(40, size=4000)] + 0.4 * rng.normal(size=(4000, 24)), rng.normal(size=(2000, 24))):
+        vectors = dict(enumerate(x.tolist()))
+        frame = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest_neighbours(frame).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute_neighbours(vectors, 50, 5)
+        assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.95 * 5 * len(want)
+
+
+def test_cosine_of_huge_and_tiny_vectors(spark):
+    big, tiny, one = [1e200, 1e200], [5e-324, 5e-324], [1.0, 1.0]
+    rows = [(0, one), (1, big), (2, tiny), (3, [1.7e308, -1.7e308]), (4, [1e-200, 2e-200])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.nearest_neighbours(frame).orderBy("rank").collect()]
+    assert [v for v, _ in got] == [1, 2, 4, 3]
+    assert np.allclose([s for _, s in got], [1, 1, 3 / 10**0.5, 0])
+
+
 def test_few_vectors_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1e-300])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest_neighbours(frame).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
