@@ -155,6 +155,43 @@ def sink_offline(spark, sf_dir):
     )
 
 
+def _dates_of(rows):
+    """A date for each folder of a history; few, whatever the rows."""
+    return [r[0] for r in rows.select("event_date").distinct().where("event_date is not null").collect()]
+
+
+_SNAPSHOT = ("session_id", "event_timestamp", "event_count", "payment_count", "pageview_count")
+
+
+@query
+def compact_history(spark, sf_dir):
+    """The history after its batches were merged, a merged batch was replayed, and old parts went."""
+    path = fresh_dir(spark, "history")
+    batches = []
+
+    def write(batch, batch_id):
+        sinks.offline_sink(path, "r0")(batch, batch_id)
+        batches.append(batch_id)
+
+    _drain_live(spark, sf_dir, write)
+    dates = _dates_of(offline.scan_offline(spark, path))
+    replayed = offline.scan_offline(spark, path).where(F.col("batch_id") == batches[0])
+    kept = pipeline.stored(replayed.drop("run", "batch_id", "event_date"))
+    offline.compact_history(spark, path, dates, ended=["r0"])
+    offline.append_batch(kept, path, "r0", batches[0])
+    offline.vacuum_history(spark, path, dates)
+    return offline.scan_offline(spark, path).select(*_SNAPSHOT)
+
+
+@query
+def read_history_date(spark, sf_dir):
+    """Rows of the newest event date, from the folders of that date alone."""
+    path = fresh_dir(spark, "history")
+    _drain_live(spark, sf_dir, sinks.offline_sink(path, "r0"))
+    newest = max(_dates_of(offline.scan_offline(spark, path)), default=None)
+    return offline.scan_offline(spark, path, dates=[newest] if newest else []).select(*_SNAPSHOT)
+
+
 @query
 def sink_online_latest(spark, sf_dir):
     path = fresh_dir(spark, "online")

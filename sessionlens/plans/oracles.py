@@ -370,6 +370,9 @@ def build() -> dict[str, str]:
                 GROUP BY session_id, wave)
           WINDOW upto AS (PARTITION BY session_id ORDER BY wave)"""
     )
+    q["compact_history"] = q["sink_offline"]
+    q["read_history_date"] = f"""WITH history AS ({q["sink_offline"]}) SELECT * FROM history
+      WHERE CAST(event_timestamp AS DATE) = (SELECT max(CAST(event_timestamp AS DATE)) FROM history)"""
     q["sink_online_latest"] = _live(
         "SELECT session_id, event_timestamp, event_count, payment_count, agent_type FROM live"
     )

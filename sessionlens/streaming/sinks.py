@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,17 +61,27 @@ def _newest(rows: DataFrame) -> DataFrame:
     return latest_per_session(numbered, order=WRITE_ORDER).drop("run", "batch_id", "run_number")
 
 
-def read_online(spark: SparkSession, path: str) -> DataFrame:
-    """Newest row per session, the last write winning among equal event times."""
-    return _newest(scan_offline(spark, path))
+def read_online(spark: SparkSession, path: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Newest row per session, the last write winning among equal event times.
+
+    With ``keys`` only those sessions are read, from the folders of their buckets.
+    """
+    return _newest(scan_offline(spark, path, keys=keys))
 
 
 def lookup_online(
-    spark: SparkSession, path: str, now: Column, ttl: timedelta = SESSION_FEATURES.ttl
+    spark: SparkSession,
+    path: str,
+    now: Column,
+    ttl: timedelta = SESSION_FEATURES.ttl,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Unexpired rows at ``now``; only the event dates within the expiry are read."""
+    """Unexpired rows at ``now``, of all sessions or of ``keys``.
+
+    Only the event dates within the expiry, and the buckets of the keys, are read.
+    """
     oldest = now - F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
-    recent = scan_offline(spark, path).where(F.col("event_date") >= F.to_date(oldest))
+    recent = scan_offline(spark, path, keys=keys).where(F.col("event_date") >= F.to_date(oldest))
     return online_lookup_ttl(_newest(recent), now, ttl).where("fresh").drop("fresh")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import quality, rules, store
 from sessionlens.schema import FEATURE_COLUMNS, SESSION_FEATURES
-from sessionlens.sources.offline import append_batch, scan_offline
+from sessionlens.sources.offline import append_batch, compact_history, scan_offline, vacuum_history
 from sessionlens.streaming import sinks
 
 ROW = "session_id string, event_timestamp timestamp, v long"
@@ -180,3 +180,88 @@ def test_a_batch_leaves_one_file_for_each_small_date(spark, tmp_path):
     append_batch(spark.createDataFrame(rows, ROW).repartition(8), str(tmp_path / "h"), "r", 0)
     assert len(list((tmp_path / "h").rglob("*.parquet"))) == 3
     assert scan_offline(spark, str(tmp_path / "h")).count() == 300
+
+
+def parts(path):
+    return sorted({p.name for p in path.glob("*/*/part=*")})
+
+
+def history_rows(spark, path, **which):
+    return sorted((r["run"], r["batch_id"], r["session_id"], r["v"]) for r in scan_offline(spark, str(path), **which).collect())
+
+
+def test_one_date_or_key_lists_its_own_folders(spark, tmp_path):
+    path = tmp_path / "h"
+    for batch in range(3):
+        rows = [(f"s{i}", at(86400 * (i % 3)), i) for i in range(60)]
+        append_batch(spark.createDataFrame(rows, ROW), str(path), "r", batch)
+    day = at(86400).date()
+    one = scan_offline(spark, str(path), dates=[day])
+    assert one.count() == 60 and one.inputFiles() and all(f"event_date={day}/" in f for f in one.inputFiles())
+    assert [r["v"] for r in scan_offline(spark, str(path), keys=["s7"]).collect()] == [7, 7, 7]
+    compact_history(spark, str(path), [at(86400 * d).date() for d in range(3)], ended=["r"])
+    vacuum_history(spark, str(path), [at(86400 * d).date() for d in range(3)])
+    mine = scan_offline(spark, str(path), keys=["s7"])
+    assert [r["v"] for r in mine.collect()] == [7, 7, 7]
+    assert len({f.split("key_bucket=")[1].split("/")[0] for f in mine.inputFiles()}) == 1
+    assert scan_offline(spark, str(path), dates=[day], keys=["s7", "s4", "s0"]).count() == 6
+    assert scan_offline(spark, str(path), dates=[at(-86400).date()]).count() == 0
+    assert scan_offline(spark, str(path), dates=[]).count() == 0
+    assert scan_offline(spark, str(path), keys=["absent"]).count() == 0
+
+
+def test_compaction_keeps_every_row_once(spark, tmp_path):
+    path = tmp_path / "h"
+
+    def batch(run, number):
+        rows = [(f"s{i}", at(86400 * (i % 2)), 100 * number + i) for i in range(20)] + [(None, at(0), -1), ("x", None, -2)]
+        append_batch(spark.createDataFrame(rows, ROW), str(path), run, number)
+
+    for number in range(4):
+        batch("r9", number)
+    batch("r10", 0)
+    key = lambda row: tuple((v is None, v) for v in row)
+    read = lambda: sorted(
+        ((r["run"], r["batch_id"], r["session_id"], r["v"]) for r in scan_offline(spark, str(path)).collect()), key=key
+    )
+    before, dates = read(), [at(0).date(), at(86400).date()]
+    compact_history(spark, str(path), dates)
+    assert read() == before  # merged and old parts lie side by side
+    batch("r9", 1)  # a merged batch is replayed
+    assert read() == before
+    assert vacuum_history(spark, str(path), dates) > 0
+    assert read() == before
+    dated = [p for p in parts(path) if "_" not in p]
+    assert "part=m-1" in dated and not [p for p in path.glob(f"event_date={dates[0]}/*/part=b-r9-0")]
+    batch("r9", 4)  # the job goes on
+    after = read()
+    assert len(after) == len(before) + 22
+    compact_history(spark, str(path), dates, ended=["r9", "r10"])
+    vacuum_history(spark, str(path), dates)
+    assert read() == after
+    for day in dates:
+        assert {p.name for p in path.glob(f"event_date={day}/*/part=*")} == {"part=m-2"}
+    assert len(scan_offline(spark, str(path), dates=dates[:1]).collect()) == sum(r[2] is None or (r[3] >= 0 and r[3] % 2 == 0) for r in after)
+
+
+def test_a_compaction_cut_short_changes_nothing(spark, tmp_path, monkeypatch):
+    from sessionlens.sources import offline
+
+    path, dates = tmp_path / "h", [at(0).date()]
+    for number in range(3):
+        append_batch(spark.createDataFrame([("a", at(number), number), ("b", at(0), number)], ROW), str(path), "r", number)
+    before, read = history_rows(spark, path), offline._read
+
+    def lost(spark, where, folders):
+        if (tmp_path / "h").glob("*/*/part=m-1") and list(path.glob("*/*/part=m-1")):
+            raise RuntimeError("lost before the manifest")
+        return read(spark, where, folders)
+
+    monkeypatch.setattr(offline, "_read", lost)
+    with pytest.raises(RuntimeError):
+        compact_history(spark, str(path), dates, ended=["r"])
+    monkeypatch.setattr(offline, "_read", read)
+    assert "part=m-1" in parts(path) and history_rows(spark, path) == before
+    compact_history(spark, str(path), dates, ended=["r"])
+    vacuum_history(spark, str(path), dates)
+    assert parts(path) == ["part=m-1"] and history_rows(spark, path) == before
