@@ -281,16 +281,6 @@ def test_short_items_match_all_alignments(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
-@pytest.mark.parametrize("weights", [[1], [3, 1], [500, 300, 199, 1], [7, 7, 7], [1, 2, 3, 4, 5, 6]])
-def test_pfair_stays_within_one_block(weights):
-    order, total = mixing.edf_period(weights), sum(weights)
-    given = [0] * len(weights)
-    for t, source in enumerate(order, 1):
-        given[source] += 1
-        assert all(abs(g - w * t / total) < 1 for g, w in zip(given, weights))
-    assert given == weights
-
-
 def within_one_block(shares, blocks, sources, slots):
     """Blocks of each source against its unrounded target, just before and after each of them."""
     total, given = sum(shares), [0] * len(shares)
@@ -302,14 +292,48 @@ def within_one_block(shares, blocks, sources, slots):
     assert given == blocks
 
 
-@pytest.mark.parametrize("sizes", [[2 + i**2 for i in range(100)], [100_000] + [20] * 2000, [5, 5, 5]])
-def test_unrounded_targets_stay_within_one_block(sizes):
+@pytest.mark.parametrize("sizes", [[9], [3, 1], [2 + i**2 for i in range(100)], [100_000] + [20] * 2000, [5, 5, 5]])
+def test_pfair_stays_within_one_block_of_the_targets(sizes):
     shares, blocks = [n**0.5 for n in sizes], [-(-n // 8) for n in sizes]
-    sources, turns, slots = mixing.edf_blocks(shares, blocks)
+    parts = mixing.whole_parts(shares)
+    sources, turns, slots = zip(*mixing.edf(parts, blocks, [0] * len(parts), 0))
     within_one_block(shares, blocks, sources, slots)
     assert len(set(zip(sources, turns))) == sum(blocks)
 
 
+def test_segments_continue_the_schedule():
+    blocks, parts = [40, 7, 0, 90, 5, 11], [9, 3, 2, 4, 0, 1]
+    whole = list(mixing.edf(parts, blocks, [0] * 6, 0))
+    for length in (1, 2, 13, 148, 1000):
+        cut = [
+            place
+            for at, done in mixing.segment_starts(parts, blocks, length)
+            for place in itertools.islice(mixing.edf(parts, blocks, done, at), length)
+        ]
+        assert cut == whole
+    runs = list(mixing.leftover_starts(parts, blocks, 2))
+    assert [(i, turn, n) for _, i, turn, n in runs] == [(4, 0, 2), (4, 2, 2), (4, 4, 1)]
+    assert runs[0][0] > whole[-1][2]
+
+
+def test_segments_in_tasks_change_no_place(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 's' || (id * id % 7) END AS source")
+    want = sorted(mixing.mix_slots(docs).collect())
+    monkeypatch.setattr(mixing, "SEGMENT_BLOCKS_PER_SOURCE", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_PLACES", 0)
+    assert sorted(mixing.mix_slots(docs, segment_blocks=20).collect()) == want
+
+
+def test_mixing_spreads_rows_that_share_an_id(spark):
+    rows = [(None if i % 2 else 7, "s", f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix_sources(docs, cell_docs=10).collect()
+    assert sorted(r.text for r in out) == sorted(t for _, _, t in rows)
+    assert len({(r.mix_slot, r.mix_seq) for r in out}) == len(rows)
+    halves = [sum(r.doc_id is None for r in out[i : i + 1000]) for i in (0, 1000)]
+    assert all(400 < n < 600 for n in halves)  # by hash, not by id
+
+
 def test_mixing_meets_targets_that_the_resolution_rounds(spark):
     rows = [(i, "a" if i % 10 else "b" if i % 20 else "c" if i % 40 else None) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
