@@ -23,6 +23,7 @@ from sessionlens.operators import (
     quality,
     rules,
     sessions,
+    sketches,
     store,
     validate,
 )
@@ -554,6 +555,58 @@ def live_session_features(spark, sf_dir):
     )
 
 
+def _with_bounds(rows, events):
+    """Live rows with exact distinct counts and flags in place of the approximate ones."""
+    for column, counted in (("unique_pages_visited", "url"), ("event_type_diversity", "event_type")):
+        rows = _bounded(rows, events, column, counted)
+    flags = [
+        f"{p}{s}"
+        for c in ("unique_pages_visited", "event_type_diversity")
+        for p, s in (("exact_", c), (c, "_within_bound"))
+    ]
+    return rows.select(*_LIVE_EXACT, *flags, *[c for c in rows.columns if c.startswith("same_")])
+
+
+@query
+def live_sketch_features(spark, sf_dir):
+    """Live features merged from the states of four waves, against those of a single pass."""
+    events = _events(spark, sf_dir)
+    wave = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    waves = sketches.event_states(events.withColumn("wave", wave), ["session_id", "wave"])
+    merged = sketches.sketch_features(waves)
+    once = sketches.sketch_features(sketches.event_states(events)).select(
+        "session_id", *[F.col(c).alias(f"once_{c}") for c in sketches.SKETCHES]
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(c) == F.col(f"once_{c}") for c in sketches.SKETCHES]
+    )
+    joined = merged.join(once, "session_id").withColumn("same_as_one_pass", same)
+    return _with_bounds(joined, events)
+
+
+@query
+def sketch_pages_per_day(spark, sf_dir):
+    """Distinct urls of a day over all sessions, from the states of its sessions."""
+    events = _events(spark, sf_dir).withColumn("slot", _day_number())
+    states = sketches.event_states(events, ["session_id", "slot"])
+    days = sketches.state_aggregates(states, ["slot"])
+    exact = events.groupBy("slot").agg(F.count_distinct("url").alias("exact_pages"))
+    bound = BOUND_SHARE * F.col("exact_pages") + BOUND_LEAST
+    within = F.abs(F.col("unique_pages_visited") - F.col("exact_pages")) <= bound
+    return days.join(exact, "slot").select(
+        "slot",
+        "event_count",
+        "payment_count",
+        "pageview_count",
+        "exact_pages",
+        within.alias("pages_within_bound"),
+    )
+
+
+def _day_number():
+    return F.call_function("div", F.unix_micros("timestamp"), F.lit(86_400_000_000))
+
+
 @query
 def live_revisit(spark, sf_dir):
     """The ratio from exact counts, and whether the live one is what its counts allow."""
@@ -614,10 +667,30 @@ def buffer_features(spark, sf_dir):
 
 @query
 def feature_drift(spark, sf_dir):
+    """Drift of all features; where the live one rests on an approximate distinct count, the
+    drift that the exact count would give, and whether the approximation is within its bound.
+    """
     events = _events(spark, sf_dir)
-    return features.feature_drift(
-        features.session_features(events), live.live_session_features(events)
+    exact = features.session_features(events)
+    rows = live.live_session_features(events)
+    for column, counted in (("unique_pages_visited", "url"), ("event_type_diversity", "event_type")):
+        rows = _bounded(rows, events, column, counted)
+    counted_rows = rows.withColumns(
+        {
+            "unique_pages_visited": F.col("exact_unique_pages_visited"),
+            "event_type_diversity": F.col("exact_event_type_diversity"),
+            "page_revisit_ratio": F.coalesce(
+                1 - F.try_divide("exact_unique_pages_visited", "pageview_count"), F.lit(0.0)
+            ),
+        }
+    )
+    flags = rows.select(
+        "session_id", "unique_pages_visited_within_bound", "event_type_diversity_within_bound"
     )
+    drift = features.feature_drift(exact, counted_rows)
+    return drift.select(
+        "session_id", *[F.round(F.col(f"{f}_drift").cast("double"), 6).alias(f"{f}_drift") for f in FEATURE_COLUMNS]
+    ).join(flags, "session_id")
 
 
 @query
@@ -764,6 +837,22 @@ def stream_close_sessions(spark, sf_dir):
     return closing.closed(spark)
 
 
+@query
+def stream_sketch_states(spark, sf_dir):
+    """Live features from a stream without state, every batch of which is lost once."""
+    path, compacted = fresh_dir(spark, "states"), fresh_dir(spark, "compacted")
+    pipeline.drain_in_waves(
+        tables.raw_topic(spark, sf_dir, faults=False),
+        jobs.events_from,
+        jobs.FailOnce(sinks.state_sink(path, "r0")),
+        "append",
+        may_fail=True,
+    )
+    sinks.compact_states(spark, path, compacted, "r1")
+    rows = sketches.sketch_features(sinks.read_states(spark, compacted))
+    return _with_bounds(rows, _events(spark, sf_dir))
+
+
 @query
 def stream_batch_metrics(spark, sf_dir):
     """Rows and state rows of each micro-batch, as recorded while the live job drained."""
@@ -954,6 +1043,52 @@ def isolation_forest_score(spark, sf_dir):
     return flagged.select("session_id", "agent_type", "label", "score", "prediction")
 
 
+@query
+def isolation_forest_checks(spark, sf_dir):
+    """By label: sessions scored, scores inside (0, 1), and as many flagged as the share allows,
+    the same in a second run.
+    """
+    rows = features.feature_rows(_events(spark, sf_dir))
+    first = pipeline.isolation_forest_run(rows)
+    again = pipeline.isolation_forest_run(rows).select(
+        "session_id", F.col("score").alias("score_again"), F.col("prediction").alias("flag_again")
+    )
+    total = first.agg(F.count(F.lit(1))).scalar()
+    flagged = first.agg(F.sum("prediction")).scalar()
+    equal = (F.col("score") == F.col("score_again")) & (F.col("prediction") == F.col("flag_again"))
+    return (
+        first.join(again, "session_id")
+        .groupBy("label")
+        .agg(
+            F.count("score").alias("sessions"),
+            F.bool_and((F.col("score") > 0) & (F.col("score") < 1)).alias("scores_in_range"),
+            F.bool_and(equal).alias("same_again"),
+        )
+        .withColumn("share_kept", flagged <= F.ceil(total * F.lit(pipeline.CONTAMINATION)))
+    )
+
+
+@query
+def autoencoder_checks(spark, sf_dir):
+    """By label: evaluation rows, errors finite and not negative, flags as the second run's."""
+    rows = features.feature_rows(_events(spark, sf_dir))
+    first = pipeline.autoencoder_run(rows)
+    again = pipeline.autoencoder_run(rows).select(
+        "session_id", F.col("error").alias("error_again"), F.col("prediction").alias("flag_again")
+    )
+    close = F.abs(F.col("error") - F.col("error_again")) <= 1e-9 * (1 + F.col("error"))
+    finite = (F.col("error") >= 0) & (F.col("error") < float("inf"))
+    return (
+        first.join(again, "session_id")
+        .groupBy("label")
+        .agg(
+            F.count("error").alias("sessions"),
+            F.bool_and(finite).alias("errors_in_range"),
+            F.bool_and(close & (F.col("prediction") == F.col("flag_again"))).alias("same_again"),
+        )
+    )
+
+
 @query
 def autoencoder_errors(spark, sf_dir):
     flagged = pipeline.autoencoder_run(features.feature_rows(_events(spark, sf_dir)))

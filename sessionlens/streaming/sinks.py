@@ -9,6 +9,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.operators.sketches import event_states, merge_states
 from sessionlens.operators.store import latest_per_session, online_lookup_ttl
 from sessionlens.schema import SESSION_FEATURES
 from sessionlens.sources.offline import append_batch, scan_offline
@@ -112,3 +113,28 @@ def fan_out(offline: str, online: str, log: str, run: str) -> BatchWriter:
             cached.unpersist()
 
     return write
+
+
+def state_sink(path: str, run: str) -> BatchWriter:
+    """Reduce each batch of events to one mergeable state per session, in a folder of its own.
+
+    The stream itself keeps no state; late events are a state more, and a replayed batch takes
+    its folder's place.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        event_states(batch).write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+    return write
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """States of all batches of all runs."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/run=*/batch_id=*")
+    return rows.drop("run", "batch_id")
+
+
+def compact_states(spark: SparkSession, path: str, target: str, run: str) -> None:
+    """Write one state per session as the first batch of a new log."""
+    merged = merge_states(read_states(spark, path))
+    merged.write.mode("overwrite").parquet(f"{target}/run={run}/batch_id=0")

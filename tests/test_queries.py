@@ -10,7 +10,6 @@ from sessionlens.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 ORACLES = oracles.build()
 ROWS_ONLY = {
-    "feature_drift",
     "dq_live_scorecard",
     "isolation_forest_score",
     "autoencoder_errors",
@@ -46,7 +45,12 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-PYTHON = {"isolation_forest_score", "autoencoder_errors"}
+PYTHON = {
+    "isolation_forest_score",
+    "isolation_forest_checks",
+    "autoencoder_errors",
+    "autoencoder_checks",
+}
 DRAINED = {n for n in QUERIES if n.startswith(("stream_", "sink_", "src_"))}
 
 
