@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators. All stay inside codegen."""
+"""Column expressions shared by the operators. All but ``computed_once`` stay inside codegen."""
 
 from __future__ import annotations
 
@@ -76,6 +76,15 @@ def kv_key(session_id: Column) -> Column:
     return F.concat(F.lit("session:"), session_id)
 
 
+def computed_once(struct: Column) -> Column:
+    """The fields of a struct as columns of a select, computed once for each row.
+
+    A filter on plain fields moves below the select and computes the whole struct again for
+    every field it names; it cannot move below this. For costly structs, such as parsed text.
+    """
+    return F.inline(F.array(struct))
+
+
 def hash_rank(key: Column, seed: int) -> Column:
     """A 60-bit number from the md5 of key and seed: a repeatable random order."""
     digest = F.md5(F.concat_ws("#", key, F.lit(str(seed))))

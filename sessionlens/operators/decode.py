@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.functions.expressions import kv_key
+from sessionlens.functions.expressions import computed_once, kv_key
 from sessionlens.schema import CORRUPT, DEFAULT_QUANTITY, DEFAULT_SIGNUP_METHOD, DEFAULT_URL, ENVELOPE, FULL_EVENT
 
 # ISO-8601 with microseconds, so that a round trip loses nothing.
@@ -23,9 +23,7 @@ def decode_events(
 ) -> DataFrame:
     """Message bytes to flat typed columns; unreadable fields become null."""
     text = F.col("value").cast("string")
-    return messages.select(*keep, F.from_json(text, schema).alias("d")).select(
-        *keep, "d.*"
-    )
+    return messages.select(*keep, computed_once(F.from_json(text, schema)))
 
 
 def decode_checked(
@@ -38,11 +36,7 @@ def decode_checked(
     watched = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col("value").cast("string")
     parsed = F.from_json(text, watched, {"columnNameOfCorruptRecord": CORRUPT})
-    return (
-        drop_tombstones(messages)
-        .select(*keep, parsed.alias("d"))
-        .select(*keep, "d.*")
-    )
+    return drop_tombstones(messages).select(*keep, computed_once(parsed))
 
 
 def corrupt_events(

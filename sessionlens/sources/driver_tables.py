@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.functions.expressions import computed_once
 from sessionlens.operators.sessions import sessionize_gap
 from sessionlens.schema import FULL_EVENT
 
@@ -160,4 +161,5 @@ def raw_topic(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFram
         .when(rule == 13, F.substring(text, 1, 20))
         .otherwise(text)
     )
-    return damaged.select("key", value.cast("binary").alias("value"), "seq", "timestamp")
+    message = F.struct("key", value.cast("binary").alias("value"), "seq", "timestamp")
+    return damaged.select(computed_once(message))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import decode, validate
 from sessionlens.schema import ENVELOPE, FULL_EVENT
+from sessionlens.sources import driver_tables
 
 STAMP = "2024-05-01T12:00:00.123456Z"
 
@@ -77,6 +78,26 @@ def test_validation_names_every_broken_rule(topic):
     assert validate.quarantine_events(checked).count() == len(ERRORS) - 2
 
 
+def test_a_message_is_written_and_parsed_once_whatever_the_rules(spark, tmp_path):
+    events = spark.range(30).selectExpr(
+        "id AS event_id",
+        "timestamp '2024-05-01 12:00:00' AS ts",
+        "1L AS user_id",
+        "'view' AS event_type",
+        "1.0D AS value",
+        """'{"k": 3}' AS props""",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    raw = driver_tables.raw_topic(spark, str(tmp_path))
+    bad = validate.quarantine_events(decode.decode_checked(raw, keep=("seq",)))
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    # One mention for cut messages and one for whole ones.
+    assert plan.count("StructsToJsonEvaluator(") == 2
+    got = {r["seq"]: r["errors"][0] for r in bad.collect()}
+    assert got == {13: "malformed", 21: "unknown event_type", 29: "missing user_id"}
+
+
 def test_dispatch_fills_one_struct_and_quarantines_unknown_types(topic):
     raw = topic(message(), message(event_type="hover"), message(event_type="search", query="shoes"))
     rows = validate.dispatch_by_type(decode.decode_checked(raw, keep=("seq",))).collect()
