@@ -24,7 +24,7 @@ from sessionlens.operators.ordered import SLOT_SECONDS
 from sessionlens.operators.sessions import assign_closures
 from sessionlens.session import ensure_checkpoint_dir, fresh_dir
 from sessionlens.sources.topic import read_message_files
-from sessionlens.streaming.jobs import InjectedFault, drain, record_metrics
+from sessionlens.streaming.jobs import InjectedFault, drain, record_metrics, state_stores
 from sessionlens.streaming.sinks import BatchWriter
 
 # Fixed value: train errors above this quantile count as anomalous.
@@ -41,6 +41,16 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def staged(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """Rows written to parquet in the shared folder, so that a pass reads its columns and, with
+    ``by``, its slices alone. Unlike ``stored`` it compresses; use it for wide rows.
+    """
+    spark = rows.sparkSession
+    path = fresh_dir(spark, "staged")
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def closed_history(
     events: DataFrame,
     idle_seconds: float,
@@ -110,13 +120,14 @@ def drain_in_waves(
     Without ``waves`` there is a slice for every WAVE_ROWS messages, two at least.
 
     Every wave restarts the job from its checkpoint and is one micro-batch; the
-    optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``.
+    optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``; they are
+    written by slice once, so that a wave reads its own slice and not all messages.
     With ``metrics`` each run's batches are recorded in that table; with ``may_fail`` a run
     that ends in an injected fault is started again.
     """
     spark = messages.sparkSession
     inbox, checkpoint = fresh_dir(spark, "inbox"), fresh_dir(spark, "checkpoint")
-    kept = stored(messages)
+    kept = staged(messages)
     span = kept.agg(
         F.min(F.unix_micros("timestamp")).alias("lo"),
         F.max(F.unix_micros("timestamp")).alias("hi"),
@@ -127,7 +138,10 @@ def drain_in_waves(
     wave = F.call_function(
         "div", F.unix_micros("timestamp") - F.lit(span["lo"]), F.lit(width)
     )
-    slices = [kept.where(wave == i) for i in range(waves)]
+    dealt = staged(
+        kept.select("key", "value", wave.alias("wave")).where("wave is not null"), by="wave"
+    )
+    slices = [dealt.where(F.col("wave") == i) for i in range(waves)]
     if last is not None:
         slices.append(last)
     for part in slices:
@@ -135,7 +149,8 @@ def drain_in_waves(
         query = None
         while query is None:  # every batch is lost once at most
             try:
-                query = drain(build(read_message_files(spark, inbox)), checkpoint, write, mode)
+                stream = build(read_message_files(spark, inbox))
+                query = drain(stream, checkpoint, write, mode, stores=state_stores(spark))
             except StreamingQueryException as lost:
                 if not may_fail or InjectedFault.__name__ not in str(lost):
                     raise

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+from pathlib import Path
 
 import pytest
 from brute import close_buffers, by_session
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from sessionlens.operators.decode import decode_checked, publish_events
 from sessionlens.operators.live import live_session_features
 from sessionlens.operators.validate import quarantine_events
+from sessionlens.plans import pipeline
+from sessionlens.session import shared_dir
 from sessionlens.sources import topic
 from sessionlens.sources.offline import scan_offline
 from sessionlens.streaming import closer, jobs, sinks
@@ -247,3 +250,31 @@ def test_published_files_keep_time_order_and_spread_a_busy_user(spark, make_even
         spans.append((stamps[0], stamps[-1], len(stamps)))
     assert len(spans) == 4 and max(n for *_, n in spans) < 400
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def messages_of(spark, rows):
+    lines = [(e["user_id"], to_line(e), e["timestamp"]) for e in as_dicts(rows)]
+    made = spark.createDataFrame(lines, "key string, value string, timestamp timestamp")
+    return made.withColumn("value", F.col("value").cast("binary"))
+
+
+def test_waves_read_their_own_slice_and_keep_a_store_a_core(spark):
+    rows = random_events(random.Random(5), rows=120)
+    root = Path(shared_dir(spark))
+    before = set(root.iterdir())
+    cores, held = spark.sparkContext.defaultParallelism, spark.conf.get(jobs.SHUFFLE_PARTITIONS)
+    spark.conf.set(jobs.SHUFFLE_PARTITIONS, cores + 5)
+    try:
+        pipeline.drain_in_waves(
+            messages_of(spark, rows), jobs.stream_live_features,
+            lambda batch, batch_id: batch.count(), "update", waves=3,
+        )
+        assert spark.conf.get(jobs.SHUFFLE_PARTITIONS) == str(cores + 5)
+    finally:
+        spark.conf.set(jobs.SHUFFLE_PARTITIONS, held)
+    made = set(root.iterdir()) - before
+    dealt = {f.name: f for d in made for f in d.glob("wave=*")}
+    assert sorted(dealt) == ["wave=0", "wave=1", "wave=2"]
+    assert sum(spark.read.parquet(str(f)).count() for f in dealt.values()) == 120
+    stores = [s for d in made for s in d.glob("state/0/[0-9]*")]
+    assert len(stores) == cores
