@@ -888,7 +888,7 @@ def stream_restart(spark, sf_dir):
 def stream_trigger_limits(spark, sf_dir):
     """One backlog drained under different limits: batches taken, and what came of them."""
     inbox = fresh_dir(spark, "inbox")
-    messages = tables.raw_topic(spark, sf_dir, faults=False)
+    messages = pipeline.staged(tables.raw_topic(spark, sf_dir, faults=False))
     topic.publish_to_files(messages, inbox, BACKLOG_FILES, ["timestamp"])
     drained = []
     for name, limit in TRIGGER_LIMITS.items():
@@ -897,6 +897,7 @@ def stream_trigger_limits(spark, sf_dir):
             jobs.stream_live_features(topic.read_message_files(spark, inbox, **limit)),
             fresh_dir(spark, "checkpoint"),
             sinks.online_sink(path, "r0"),
+            stores=jobs.state_stores(spark),
         )
         jobs.record_metrics(query, table)
         batches = jobs.read_metrics(spark, table).where("rows > 0").agg(F.count(F.lit(1)))

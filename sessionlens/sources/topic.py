@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionlens.schema import TOPIC
 
 MESSAGE_SCHEMA = "key string, value binary"
+#: Bytes of a row group in published files: readers share a large file out by its row groups.
+ROW_GROUP_BYTES = 4 << 20
 
 
 def topic_options(
@@ -72,7 +74,13 @@ def publish_to_files(messages: DataFrame, path: str, files: int, order: list[str
     """Write messages as ``files`` time slices, each in order.
 
     Slices are ranges of the order columns, so a busy user is spread over the
-    slices of its time span while its messages stay in order.
+    slices of its time span while its messages stay in order. The ranges are found in a pass
+    over the messages before they are dealt out: let costly messages be materialised.
     """
     sliced = messages.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    sliced.select("key", "value").write.mode("append").parquet(path)
+    (
+        sliced.select("key", "value")
+        .write.mode("append")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
+        .parquet(path)
+    )

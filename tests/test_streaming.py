@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from brute import close_buffers, by_session
 from conftest import as_dicts, at, event, random_events
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from sessionlens.operators.decode import decode_checked, publish_events
@@ -278,3 +279,14 @@ def test_waves_read_their_own_slice_and_keep_a_store_a_core(spark):
     assert sum(spark.read.parquet(str(f)).count() for f in dealt.values()) == 120
     stores = [s for d in made for s in d.glob("state/0/[0-9]*")]
     assert len(stores) == cores
+
+
+def test_a_large_published_file_can_be_shared_out(spark, tmp_path):
+    body = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(120)])
+    made = spark.range(2000).select(
+        F.lit("u").alias("key"), F.unhex(body).alias("value"), F.timestamp_seconds("id").alias("timestamp")
+    )
+    topic.publish_to_files(made, str(tmp_path / "in"), 1, ["timestamp"])
+    (file,) = (tmp_path / "in").glob("*.parquet")
+    assert parquet.ParquetFile(file).metadata.num_rows == 2000
+    assert parquet.ParquetFile(file).metadata.num_row_groups > 1
