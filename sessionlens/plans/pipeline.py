@@ -119,8 +119,8 @@ def drain_in_waves(
 
     Without ``waves`` there is a slice for every WAVE_ROWS messages, two at least.
 
-    Every wave restarts the job from its checkpoint and is one micro-batch; the
-    optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``; they are
+    Every wave restarts the job from its checkpoint and is one micro-batch, with the state
+    on disk; the optional ``last`` messages form a final wave. ``messages`` carry ``timestamp``; they are
     written by slice once, so that a wave reads its own slice and not all messages.
     With ``metrics`` each run's batches are recorded in that table; with ``may_fail`` a run
     that ends in an injected fault is started again.
@@ -150,7 +150,9 @@ def drain_in_waves(
         while query is None:  # every batch is lost once at most
             try:
                 stream = build(read_message_files(spark, inbox))
-                query = drain(stream, checkpoint, write, mode, stores=state_stores(spark))
+                query = drain(
+                    stream, checkpoint, write, mode, stores=state_stores(spark), on_disk=True
+                )
             except StreamingQueryException as lost:
                 if not may_fail or InjectedFault.__name__ not in str(lost):
                     raise

@@ -281,6 +281,41 @@ def test_waves_read_their_own_slice_and_keep_a_store_a_core(spark):
     assert len(stores) == cores
 
 
+def state_files(checkpoint):
+    return {f.suffix for f in Path(checkpoint).glob("state/0/[0-9]*/*") if not f.name.startswith(".")}
+
+
+def test_waves_that_lose_every_batch_keep_their_state_on_disk(spark, make_events, tmp_path):
+    rows, path = random_events(random.Random(6), rows=120), str(tmp_path / "off")
+    root = Path(shared_dir(spark))
+    before = set(root.iterdir())
+    assert spark.conf.get(jobs.STATE_PROVIDER, None) is None
+    write = jobs.FailOnce(sinks.offline_sink(path, "r"))
+    pipeline.drain_in_waves(
+        messages_of(spark, rows), jobs.stream_live_features, write, "update", waves=3, may_fail=True
+    )
+    assert len(write.lost) >= 3
+    assert spark.conf.get(jobs.STATE_PROVIDER, None) is None
+    (checkpoint,) = [d for d in set(root.iterdir()) - before if d.name.startswith("checkpoint")]
+    assert ".zip" in state_files(checkpoint) and ".delta" not in state_files(checkpoint)
+    # A session's newest snapshot is its state over all waves.
+    newest = {}
+    for r in scan_offline(spark, path).collect():
+        newest[r["session_id"]] = max(newest.get(r["session_id"], 0), r["event_count"])
+    expected = live_session_features(make_events(rows)).collect()
+    assert newest == {r["session_id"]: r["event_count"] for r in expected}
+
+
+def test_a_checkpoint_begun_in_memory_goes_on_in_memory(spark, inbox, tmp_path):
+    path = str(tmp_path / "online")
+    for i, on_disk in enumerate((False, True)):
+        inbox.put([to_line(e) for e in as_dicts([event(i, "click", i)])])
+        stream = jobs.stream_live_features(topic.read_json_lines(spark, str(inbox.path)))
+        jobs.drain(stream, str(tmp_path / "cp"), sinks.online_sink(path, "r"), "update", 120, on_disk=on_disk)
+    assert [r["event_count"] for r in sinks.read_online(spark, path).collect()] == [2]
+    assert ".zip" not in state_files(tmp_path / "cp")
+
+
 def test_a_large_published_file_can_be_shared_out(spark, tmp_path):
     body = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(120)])
     made = spark.range(2000).select(
