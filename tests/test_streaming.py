@@ -295,7 +295,7 @@ def test_waves_that_lose_every_batch_keep_their_state_on_disk(spark, make_events
         messages_of(spark, rows), jobs.stream_live_features, write, "update", waves=3, may_fail=True
     )
     assert len(write.lost) >= 3
-    assert spark.conf.get(jobs.STATE_PROVIDER, None) is None
+    assert spark.conf.get(jobs.STATE_PROVIDER, None) is None and spark.conf.get(jobs.UNLOAD, None) is None
     (checkpoint,) = [d for d in set(root.iterdir()) - before if d.name.startswith("checkpoint")]
     assert ".zip" in state_files(checkpoint) and ".delta" not in state_files(checkpoint)
     # A session's newest snapshot is its state over all waves.
